@@ -362,25 +362,25 @@ def object_overview(t):
 @query("head_blockers")
 def head_blockers(t):
     snapshot = _snapshot(t)
-    return fv.head_blockers(snapshot, fv.contention(snapshot))
+    return fv.head_blockers(snapshot, fv.contention(snapshot), ordered=False)
 
 
 @query("mid_blockers")
 def mid_blockers(t):
     snapshot = _snapshot(t)
-    return fv.mid_blockers(snapshot, fv.contention(snapshot))
+    return fv.mid_blockers(snapshot, fv.contention(snapshot), ordered=False)
 
 
 @query("leaf_waiters")
 def leaf_waiters(t):
     snapshot = _snapshot(t)
-    return fv.leaf_waiters(snapshot, fv.contention(snapshot))
+    return fv.leaf_waiters(snapshot, fv.contention(snapshot), ordered=False)
 
 
 @query("leaf_waiters_once")
 def leaf_waiters_once(t):
     snapshot = _snapshot(t)
-    return fv.leaf_waiters(snapshot, fv.contention(snapshot), once=True)
+    return fv.leaf_waiters(snapshot, fv.contention(snapshot), once=True, ordered=False)
 
 
 @query("blocking_chains_reference")

@@ -387,8 +387,10 @@ def contention(
         return test
 
     def distinct_parties(side: DataFrame, other: DataFrame, kind: str) -> DataFrame:
-        party = side.select(*dict.fromkeys([*on, "session_id", "_spid_ok", "_login_ok", *([kind] if kind in side.columns else [])]))
-        met = party.distinct().join(other, on).where(partnered())
+        own = dict.fromkeys([*on, "session_id", "_spid_ok", "_login_ok"])
+        if kind in side.columns:
+            own[kind] = None
+        met = side.select(*own).join(other, on).where(partnered())
         return met.select(
             *scope,
             "session_id",
@@ -419,8 +421,9 @@ def session_overview(
     """One row per session: lock counts, objects touched, isolation level, blocker mark.
 
     ``holders`` are the blocking sessions (``contention(...).holders``, or any frame with ``session_id``).
-    Lock rows are first reduced to one row per (session, database, object); the distinct counts run over
-    that.  ``strict_reference=True`` names isolation level 2 the same with and without a row version
+    Each lock row is counted once under its object and once under its database.  The first grouping makes
+    these distinct per session, the second counts them, so a hot session is counted by many tasks.
+    ``strict_reference=True`` names isolation level 2 the same with and without a row version
     transaction.
     """
     scope = scope_of(snapshot)
@@ -437,17 +440,32 @@ def session_overview(
     ]
     rows = optional_filter(snapshot, db_name=db_name, session_id=spid, login_name=login)
     nonintent = _is_granted() & ~F.col("request_mode").startswith("I") & (F.col("resource_type") == "OBJECT")
-    touched = rows.groupBy(*who, "db_name", "object_name").agg(
-        F.count_if(_is_granted()).alias("_granted"),
-        F.count_if(_is_waiting()).alias("_waiting"),
-        F.count_if(nonintent).alias("_nonintent"),
+    none = F.lit(False)
+
+    def item(is_db: bool, name: str, granted: Column, waiting: Column, plain: Column) -> Column:
+        return F.struct(
+            F.lit(is_db).alias("is_db"),
+            F.col(name).alias("name"),
+            granted.alias("granted"),
+            waiting.alias("waiting"),
+            plain.alias("nonintent"),
+        )
+
+    items = F.array(
+        item(False, "object_name", _is_granted(), _is_waiting(), nonintent), item(True, "db_name", none, none, none)
+    )
+    touched = (
+        rows.select(*who, F.explode(items).alias("_item"))
+        .groupBy(*who, F.col("_item.is_db").alias("_is_db"), F.col("_item.name").alias("_name"))
+        .agg(*[F.count_if(F.col(f"_item.{c}")).alias(f"_{c}") for c in ("granted", "waiting", "nonintent")])
     )
+    named = F.col("_name").isNotNull()
 
     def objects_with(counter: str) -> Column:
-        return F.count_distinct(F.when(F.col(counter) > 0, F.col("object_name")))
+        return F.count_if(~F.col("_is_db") & named & (F.col(counter) > 0))
 
     per_session = touched.groupBy(*who).agg(
-        F.count_distinct("db_name").alias("locks_in_dbs"),
+        F.count_if(F.col("_is_db") & named).alias("locks_in_dbs"),
         F.sum("_granted").alias("granted_locks"),
         F.sum("_waiting").alias("waiting_locks"),
         objects_with("_granted").alias("objects_with_granted_locks"),
@@ -552,6 +570,9 @@ def object_overview(
 
 
 # ---------------------------------------------------------------------------------------- lock details
+#
+# The three details share their arguments: ``once`` shows a lock row once instead of once per contended
+# resource of its session; ``ordered=False`` leaves out the report order, which sorts all rows.
 
 _DETAIL = (
     "session_id",
@@ -575,7 +596,7 @@ def _marked(text: Column) -> Column:
     return F.concat(F.lit("___"), text, F.lit("___"))
 
 
-def _details(snapshot: DataFrame, contended: DataFrame, waits: bool, once: bool) -> DataFrame:
+def _details(snapshot: DataFrame, contended: DataFrame, waits: bool, once: bool, ordered: bool) -> DataFrame:
     """All lock rows of the sessions of ``contended``, the contended resource marked.
 
     A lock row appears once per contended resource of its session; with ``once`` it appears once.
@@ -613,8 +634,9 @@ def _details(snapshot: DataFrame, contended: DataFrame, waits: bool, once: bool)
         status = F.col("request_status")
         changed["request_status"] = F.when(status == GRANTED, status).otherwise(_marked(status))
     columns = [*scope_of(snapshot), *_DETAIL, *(["blocking_session_id"] if waits else [])]
-    ordered = rows.orderBy(*scope_of(snapshot), "session_id", "db_name", "object_name", _type_rank())
-    return ordered.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in columns])
+    if ordered:
+        rows = rows.orderBy(*scope_of(snapshot), "session_id", "db_name", "object_name", _type_rank())
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in columns])
 
 
 def _sessions(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
@@ -622,19 +644,25 @@ def _sessions(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return df.join(other.select(*on).distinct(), on, how)
 
 
-def head_blockers(snapshot: DataFrame, parties: Contention, once: bool = False) -> DataFrame:
+def head_blockers(
+    snapshot: DataFrame, parties: Contention, once: bool = False, ordered: bool = True
+) -> DataFrame:
     """Locks of the sessions that block others and wait for nobody."""
-    return _details(snapshot, _sessions(parties.holders, parties.waiters, "left_anti"), False, once)
+    return _details(snapshot, _sessions(parties.holders, parties.waiters, "left_anti"), False, once, ordered)
 
 
-def mid_blockers(snapshot: DataFrame, parties: Contention, once: bool = False) -> DataFrame:
+def mid_blockers(
+    snapshot: DataFrame, parties: Contention, once: bool = False, ordered: bool = True
+) -> DataFrame:
     """Locks of the sessions that block others and wait themselves."""
-    return _details(snapshot, _sessions(parties.holders, parties.waiters, "left_semi"), True, once)
+    return _details(snapshot, _sessions(parties.holders, parties.waiters, "left_semi"), True, once, ordered)
 
 
-def leaf_waiters(snapshot: DataFrame, parties: Contention, once: bool = False) -> DataFrame:
+def leaf_waiters(
+    snapshot: DataFrame, parties: Contention, once: bool = False, ordered: bool = True
+) -> DataFrame:
     """Locks of the sessions that only wait."""
-    return _details(snapshot, _sessions(parties.waiters, parties.holders, "left_anti"), True, once)
+    return _details(snapshot, _sessions(parties.waiters, parties.holders, "left_anti"), True, once, ordered)
 
 
 # ------------------------------------------------------------------------------------- single sessions

@@ -101,27 +101,51 @@ def delete_expired(
     return delete_where(df, F.col(column) >= bound.cast(dict(df.dtypes)[column]))
 
 
+def _drawn(keys: DataFrame, key: str, n: int) -> DataFrame:
+    """The first ``n`` keys of every round.  Each task cuts its part to ``n`` per round before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("_round").orderBy("_order", key))
+    return keys.withColumn("_rank", rank).where(F.col("_rank") <= n)
+
+
 def repeat_update(
     df: DataFrame,
     key: str = "uuid",
     column: str = "stage",
     rounds: int = ROUNDS,
     n: int = ROUND_SAMPLE,
+    share: int = 64,
 ) -> DataFrame:
     """``rounds`` times: sample ``n`` keys, then add one to ``column`` for them.  One pass over the table.
 
     The samples do not depend on the updated column, so all rounds are drawn at once and a row gains the
-    number of rounds that drew it.  Ranking is cut to ``n`` per round inside every input task before the
-    shuffle, so a round's group holds at most ``n`` rows per task; the drawn keys are ``rounds * n`` at most.
+    number of rounds that drew it.
+
+    A round draws its ``n`` lowest keys in that round's order.  To rank few rows, one key in ``share`` is
+    drawn from first: the last key drawn there is no lower than the last key of the whole draw, so keys
+    beyond it are dropped before ranking.  A round whose share has fewer than ``n`` keys drops none, and
+    the result is the same with any ``share``.
     """
-    numbered = df.select(key).withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    round_ = F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_round")
     order = F.md5(F.concat(F.col("_round").cast("string"), F.lit(":"), F.col(key).cast("string")))
-    ranked = numbered.withColumn("_order", order).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_round").orderBy("_order", key))
+
+    def numbered(keys: DataFrame) -> DataFrame:
+        return keys.select(key, round_).withColumn("_order", order)
+
+    keys = df.select(key).where(F.col(key).isNotNull())
+    part = keys.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0)
+    cuts = (
+        _drawn(numbered(part), key, n)
+        .groupBy("_round")
+        .agg(F.max("_order").alias("_cut"), F.count(F.lit(1)).alias("_found"))
+        .where(F.col("_found") == n)
+        .select("_round", "_cut")
     )
-    hits = ranked.where(F.col("_rank") <= n).groupBy(key).agg(F.count(F.lit(1)).alias("_hits"))
+    small = rounds * n <= 100_000  # bounds both lists that are broadcast
+    left = numbered(keys).join(F.broadcast(cuts) if small else cuts, "_round", "left")
+    left = left.where(F.col("_cut").isNull() | (F.col("_order") <= F.col("_cut")))
+    hits = _drawn(left, key, n).groupBy(key).agg(F.count(F.lit(1)).alias("_hits"))
     type_ = dict(df.dtypes)[column]
-    met = df.join(F.broadcast(hits) if rounds * n <= 100_000 else hits, key, "left")
+    met = df.join(F.broadcast(hits) if small else hits, key, "left")
     gained = (F.col(column) + F.coalesce(F.col("_hits"), F.lit(0))).cast(type_)
     return met.select(*[gained.alias(c) if c == column else F.col(c) for c in df.columns])
 
