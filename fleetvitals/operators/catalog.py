@@ -122,7 +122,8 @@ def join_children(
 ) -> DataFrame:
     """One text per parent: its child texts in order, with the separator between them or after each.
 
-    The result is a single value per parent, so a parent's texts have to fit in one row.
+    The result is a single value per parent, so a parent's texts have to fit in one row; for the files of
+    a database they do, as a server allows 32,767 files per database.
     """
     keys = [key] if isinstance(key, str) else list(key)
     order = [order] if isinstance(order, str) else list(order)

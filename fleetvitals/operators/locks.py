@@ -109,7 +109,7 @@ def resolve_names(locks: DataFrame, partitions: DataFrame, objects: DataFrame, f
     keyed = (
         locks.withColumn("database_id", F.col("resource_database_id"))
         .withColumn("_by_object", kind == "OBJECT")
-        .withColumn("_id", F.when(looked_up, entity))
+        .withColumn("_id", entity)
     )
     found = F.col("_found")
     if fallback:

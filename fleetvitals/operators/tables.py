@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetvitals.functions import fixed_width
+from fleetvitals.plans import first_rows
+from fleetvitals.plans.first_rows import GROUPS
 
 # Rows of the generator, stages of a task, sample sizes and rounds (fixed values).
 TASKS = 4096
@@ -64,7 +66,8 @@ def sample_exact(df: DataFrame, n: int = SAMPLE, key: str = "uuid", seed: object
 
     The same seed gives the same sample on any cluster; another seed gives an unrelated one.
     """
-    return df.orderBy(_shuffled(key, seed), key).limit(n)
+    numbered = df.withColumn("_order", _shuffled(key, seed))
+    return first_rows(numbered, ["_order", key], n).drop("_order")
 
 
 def update_where_in(df: DataFrame, keys: DataFrame, key: str, changes: Mapping[str, Column]) -> DataFrame:
@@ -101,10 +104,10 @@ def delete_expired(
     return delete_where(df, F.col(column) >= bound.cast(dict(df.dtypes)[column]))
 
 
-def _drawn(keys: DataFrame, key: str, n: int) -> DataFrame:
+def _drawn(keys: DataFrame, key: str, n: int, within: Sequence[str] = ("_round",)) -> DataFrame:
     """The first ``n`` keys of every round.  Each task cuts its part to ``n`` per round before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy("_round").orderBy("_order", key))
-    return keys.withColumn("_rank", rank).where(F.col("_rank") <= n)
+    rank = F.row_number().over(Window.partitionBy(*within).orderBy("_order", key))
+    return keys.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
 def repeat_update(
@@ -122,7 +125,8 @@ def repeat_update(
 
     A round draws its ``n`` lowest keys in that round's order.  To rank few rows, one key in ``share`` is
     drawn from first: the last key drawn there is no lower than the last key of the whole draw, so keys
-    beyond it are dropped before ranking.  A round whose share has fewer than ``n`` keys drops none, and
+    beyond it are dropped before ranking.  That first draw goes through groups of input tasks, so no task
+    receives ``n`` keys from every input task.  A round whose share has fewer than ``n`` keys drops none, and
     the result is the same with any ``share``.
     """
     round_ = F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_round")
@@ -133,8 +137,9 @@ def repeat_update(
 
     keys = df.select(key).where(F.col(key).isNotNull())
     part = keys.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0)
+    grouped = numbered(part).withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
     cuts = (
-        _drawn(numbered(part), key, n)
+        _drawn(_drawn(grouped, key, n, ["_round", "_group"]), key, n)
         .groupBy("_round")
         .agg(F.max("_order").alias("_cut"), F.count(F.lit(1)).alias("_found"))
         .where(F.col("_found") == n)
@@ -151,9 +156,8 @@ def repeat_update(
 
 
 def top_k(df: DataFrame, order: str | Sequence[str], k: int = TOP_ROWS) -> DataFrame:
-    """The first ``k`` rows by the given columns; each task keeps its own ``k`` rows, none sorts the whole."""
-    columns = [order] if isinstance(order, str) else list(order)
-    return df.orderBy(*columns).limit(k)
+    """The first ``k`` rows by the given columns, which should end in a unique one."""
+    return first_rows(df, [order] if isinstance(order, str) else list(order), k)
 
 
 def to_fixed_width(df: DataFrame, column: str, width: int) -> DataFrame:

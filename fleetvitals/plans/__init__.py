@@ -1,7 +1,8 @@
-"""Physical-plan helpers: session settings, skew-safe joins, durable intermediate results."""
+"""Physical-plan helpers: session settings, skew-safe joins, top rows, durable intermediate results."""
 
 from fleetvitals.plans.durable import durable, scratch_path, work_folder
+from fleetvitals.plans.first_rows import first_rows
 from fleetvitals.plans.session import tune
 from fleetvitals.plans.skew import block_join
 
-__all__ = ["block_join", "durable", "scratch_path", "tune", "work_folder"]
+__all__ = ["block_join", "durable", "first_rows", "scratch_path", "tune", "work_folder"]

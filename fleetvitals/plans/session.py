@@ -1,9 +1,12 @@
-"""Adaptive-execution settings the operators count on."""
+"""Session settings the operators count on."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+# The per-task cut of a ranking applies up to this many rows per group.
+GROUP_LIMIT = {"spark.sql.optimizer.windowGroupLimitThreshold": "20000"}
+
 # Joins of a large fact table with a key-unique side are left to adaptive execution: it broadcasts a side
 # whose measured size is small and splits a hot key of the fact side over many tasks.  The last setting
 # allows that split even where the join's partitioning would otherwise be reused by a later grouping.
@@ -16,7 +19,7 @@ ADAPTIVE = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Switch on adaptive execution with skew splitting; all other settings stay as they are."""
-    for key, value in ADAPTIVE.items():
+    """Switch on adaptive execution with skew splitting, and group limits; other settings stay as they are."""
+    for key, value in {**ADAPTIVE, **GROUP_LIMIT}.items():
         spark.conf.set(key, value)
     return spark

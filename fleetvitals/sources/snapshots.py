@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetvitals.plans import durable
+
 # Tags of the first and the second sample (fixed values).
 BEFORE = 1
 AFTER = 10
@@ -57,11 +59,9 @@ def release(df: DataFrame) -> None:
 def fan_out(df: DataFrame, targets: Mapping[str, Sequence[str] | None]) -> None:
     """Write the rows to several paths, each with its own column list (``None`` keeps all).
 
-    The source is evaluated once: its cached blocks feed every write, and spill to disk.
+    The source is evaluated once, into a reliable checkpoint, so that all targets get the same rows even if
+    an executor is lost between the writes and the source has generated ids.
     """
-    cached = df.persist()
-    try:
-        for path, columns in targets.items():
-            (cached.select(*columns) if columns else cached).write.mode("append").parquet(path)
-    finally:
-        cached.unpersist()
+    kept = durable(df)
+    for path, columns in targets.items():
+        (kept.select(*columns) if columns else kept).write.mode("append").parquet(path)
