@@ -45,12 +45,12 @@ WHERE wait_type NOT LIKE 'signup#%' AND waiting_tasks_count > 0""",
 SELECT * FROM waits_after
 WHERE wait_type NOT LIKE 'signup#%' AND waiting_tasks_count > 0""",
     "deltas": """
-SELECT coalesce(a.wait_type, b.wait_type) AS wait_type,
-       abs(coalesce(a.wait_time_ms, 0) - coalesce(b.wait_time_ms, 0)) AS wait_time_ms,
-       abs(coalesce(a.signal_wait_time_ms, 0) - coalesce(b.signal_wait_time_ms, 0)) AS signal_wait_time_ms,
-       abs(coalesce(a.waiting_tasks_count, 0) - coalesce(b.waiting_tasks_count, 0)) AS wait_count
-FROM active_before b FULL JOIN active_after a ON a.wait_type = b.wait_type
-WHERE abs(coalesce(a.waiting_tasks_count, 0) - coalesce(b.waiting_tasks_count, 0)) > 0""",
+SELECT * FROM (
+  SELECT wait_type, abs(ifnull(a.wait_time_ms, 0) - ifnull(b.wait_time_ms, 0)) AS wait_time_ms,
+         abs(ifnull(a.signal_wait_time_ms, 0) - ifnull(b.signal_wait_time_ms, 0)) AS signal_wait_time_ms,
+         abs(ifnull(a.waiting_tasks_count, 0) - ifnull(b.waiting_tasks_count, 0)) AS wait_count
+  FROM active_before b FULL JOIN active_after a USING (wait_type))
+WHERE wait_count > 0""",
     "wait_history": """
 SELECT event_type || '#' || CAST(user_id AS VARCHAR) AS wait_type, date_trunc('hour', ts) AS captured_at,
        CAST(sum(CAST(floor(value * 1000) AS BIGINT)) AS BIGINT) AS wait_time_ms, count(*) AS waiting_tasks_count
@@ -298,16 +298,16 @@ FROM sizes WHERE {condition} GROUP BY {groups}"""
 
 
 _DETAIL = """
+WITH contended AS (SELECT DISTINCT {party} AS session_id, locked_object_name, resource_type, resource FROM pairs
+  WHERE {party} {belongs} (SELECT {other} FROM pairs))
 SELECT s.session_id, s.login_name, s.host_name, s.status, s.db_name,
-       CASE WHEN c.locked_object_name = s.object_name AND c.resource_type = s.resource_type
-             AND c.resource = s.resource_description THEN '___' || s.object_name || '___'
-            ELSE s.object_name END AS object_name,
+       if((s.object_name, s.resource_type, s.resource_description) = (c.locked_object_name, c.resource_type, c.resource),
+          '___' || s.object_name || '___', s.object_name) AS object_name,
        s.resource_type, s.resource_description, s.hobt_id, s.request_type, {status} AS request_status, s.request_mode,
        s.open_transaction_count, s.text {blocker}
-FROM snap s JOIN (SELECT DISTINCT {party} AS party, locked_object_name, resource_type, resource FROM pairs p
-  WHERE {exists} (SELECT 1 FROM pairs q WHERE q.{other} = p.{party})) c ON c.party = s.session_id"""
+FROM snap s JOIN contended c USING (session_id)"""
 
-_WAITING_STATUS = "CASE WHEN s.request_status = 'GRANT' THEN s.request_status ELSE '___' || s.request_status || '___' END"
+_WAITING_STATUS = "if(s.request_status = 'GRANT', 'GRANT', '___' || s.request_status || '___')"
 
 
 def _percent(part: str, whole: str) -> str:
@@ -409,13 +409,13 @@ FROM dbs d LEFT JOIN (SELECT database_id, string_agg('(FILENAME = N''' || physic
 WHERE d.database_id > 4""",
     "move_commands": r"""
 SELECT d.name AS "dbName",
-       'BACKUP DATABASE [' || d.name || '] TO DISK = ''\\newServer\backup_share\' || d.name
+       'BACKUP DATABASE [' || d.name || '] TO DISK = ''\\vault\nightly\' || d.name
          || '.bak'' WITH INIT, STATS = 5;' AS backup_command,
        'ALTER DATABASE [' || d.name || '] SET OFFLINE WITH ROLLBACK IMMEDIATE;' AS offline_command,
-       'RESTORE DATABASE [' || d.name || '] FROM DISK = ''E:\Backup\' || d.name || '.bak'' WITH ' || f.list
+       'RESTORE DATABASE [' || d.name || '] FROM DISK = ''F:\restore\' || d.name || '.bak'' WITH ' || f.list
          || 'REPLACE, RECOVERY, STATS = 5;' AS restore_command
 FROM dbs d LEFT JOIN (
-  SELECT database_id, string_agg('MOVE ''' || name || ''' TO ''D:\SQLServer\data\' || name || '.mdf'', ', ''
+  SELECT database_id, string_agg('MOVE ''' || name || ''' TO ''G:\files\' || name || '.mdf'', ', ''
                                  ORDER BY file_id) AS list FROM files GROUP BY 1) f ON f.database_id = d.database_id""",
     "pending_work": """
 SELECT * FROM work_catalog WHERE database_id > 4 AND state_desc = 'ONLINE' AND name <> 'Customer#000000009'
@@ -458,59 +458,57 @@ SELECT DISTINCT "granted_SPID" AS session_id, locked_object_name, resource_type,
     "waiters_by_resource": """
 SELECT DISTINCT "waiting_SPID" AS session_id, locked_object_name, resource_type, resource FROM pairs_resource""",
     "session_overview": f"""
-WITH grouped AS (SELECT {_SESSION_GROUP}, count(DISTINCT db_name) AS locks_in_dbs,
-    CAST(sum(CASE WHEN request_status = 'GRANT' THEN 1 ELSE 0 END) AS BIGINT) AS granted_locks,
-    CAST(sum(CASE WHEN request_status <> 'GRANT' THEN 1 ELSE 0 END) AS BIGINT) AS waiting_locks,
-    count(DISTINCT CASE WHEN request_status = 'GRANT' THEN object_name END) AS objects_with_granted_locks,
-    count(DISTINCT CASE WHEN request_status <> 'GRANT' THEN object_name END) AS objects_with_waiting_locks,
-    count(DISTINCT CASE WHEN request_status = 'GRANT' AND request_mode NOT LIKE 'I%' AND resource_type = 'OBJECT'
-                        THEN object_name END) AS nonintent_objects_granted_locks
-  FROM snap GROUP BY {_SESSION_GROUP}),
-holding AS (SELECT DISTINCT "granted_SPID" AS spid FROM pairs)
-SELECT session_id, login_name, host_name,
-       CASE WHEN granted_locks > 0 AND upper(status) = 'SLEEPING' THEN upper(status) ELSE status END AS status,
+WITH marked AS (SELECT *, request_status = 'GRANT' AS held, request_status <> 'GRANT' AS awaited,
+    resource_type = 'OBJECT' AND NOT starts_with(request_mode, 'I') AS plain FROM snap),
+tally AS (SELECT {_SESSION_GROUP}, count(DISTINCT db_name) AS locks_in_dbs,
+    count(*) FILTER (held) AS granted_locks, count(*) FILTER (awaited) AS waiting_locks,
+    count(DISTINCT object_name) FILTER (held) AS objects_with_granted_locks,
+    count(DISTINCT object_name) FILTER (awaited) AS objects_with_waiting_locks,
+    count(DISTINCT object_name) FILTER (held AND plain) AS nonintent_objects_granted_locks
+  FROM marked GROUP BY ALL),
+levels(code, isolation_level) AS (VALUES (0, 'Unspecified'), (1, 'Read Uncommitted'), (2, 'Read Committed'),
+  (3, 'Repeatable Read'), (4, 'Serializable'), (5, 'Snapshot')),
+blocking AS (SELECT DISTINCT "granted_SPID" AS session_id FROM pairs),
+versioned AS (SELECT c_custkey AS session_id FROM customer WHERE c_mktsegment = 'BUILDING')
+SELECT t.session_id, login_name, host_name, if(granted_locks > 0 AND status = 'sleeping', 'SLEEPING', status) AS status,
        open_transaction_count,
-       CASE transaction_il WHEN 0 THEN 'Unspecified' WHEN 1 THEN 'Read Uncommitted'
-         WHEN 2 THEN CASE WHEN EXISTS (SELECT 1 FROM customer a WHERE a.c_custkey = t.session_id
-                                       AND a.c_mktsegment = 'BUILDING')
-                     THEN 'Read Committed Snapshot' ELSE 'Read Committed' END
-         WHEN 3 THEN 'Repeatable Read' WHEN 4 THEN 'Serializable' WHEN 5 THEN 'Snapshot' ELSE 'UNKNOWN' END
-         AS isolation_level,
+       CASE WHEN transaction_il = 2 AND v.session_id IS NOT NULL THEN 'Read Committed Snapshot'
+            ELSE coalesce(isolation_level, 'UNKNOWN') END AS isolation_level,
        text, locks_in_dbs, granted_locks, waiting_locks, objects_with_granted_locks, objects_with_waiting_locks,
-       nonintent_objects_granted_locks, CASE WHEN h.spid IS NOT NULL THEN 'V' ELSE '' END AS blocker_mark
-FROM grouped t LEFT JOIN holding h ON h.spid = t.session_id""",
+       nonintent_objects_granted_locks, if(b.session_id IS NULL, '', 'V') AS blocker_mark
+FROM tally t LEFT JOIN levels ON code = transaction_il LEFT JOIN blocking b ON b.session_id = t.session_id
+LEFT JOIN versioned v ON v.session_id = t.session_id""",
     "object_overview": f"""
-WITH counted AS (SELECT db_name, object_name, count(*) AS overall_locks,
-    count(CASE WHEN request_status = 'GRANT' THEN 1 END) AS granted_locks,
-    count(DISTINCT CASE WHEN request_status = 'GRANT' THEN session_id END) AS sessions_with_granted_locks,
-    count(DISTINCT CASE WHEN request_status <> 'GRANT' THEN session_id END) AS waiting_sessions,
-    count(CASE WHEN request_status <> 'GRANT' THEN 1 END) AS waiting_locks,
-    count(CASE WHEN resource_type = 'OBJECT' AND request_mode NOT LIKE 'I%' AND request_status = 'GRANT' THEN 1 END)
-      AS object_nonintent_locks_granted,
-    count(CASE WHEN resource_type = 'OBJECT' AND request_status <> 'GRANT' THEN 1 END) AS object_locks_waiting,
-    count(CASE WHEN resource_type IN ('KEY', 'RID') AND request_status = 'GRANT' THEN 1 END) AS key_locks_granted,
-    count(CASE WHEN resource_type IN ('KEY', 'RID') AND request_status <> 'GRANT' THEN 1 END) AS key_locks_waiting,
-    count(CASE WHEN resource_type = 'PAGE' AND request_status = 'GRANT' THEN 1 END) AS page_locks_granted,
-    count(CASE WHEN resource_type = 'PAGE' AND request_status <> 'GRANT' THEN 1 END) AS page_locks_waiting,
-    count(CASE WHEN resource_type IN ('KEY', 'RID') THEN 1 END) AS key_locks
-  FROM snap GROUP BY 1, 2),
-shared AS (SELECT *, CAST(sum(overall_locks) OVER (PARTITION BY db_name) AS BIGINT) AS locks_in_db_overall FROM counted)
-SELECT * EXCLUDE (key_locks), {_percent("key_locks", "overall_locks")} AS key_locks_pctg,
-       {_percent("overall_locks", "locks_in_db_overall")} AS tbl_locks_in_db_pctg FROM shared""",
+WITH marked AS (SELECT *, request_status = 'GRANT' AS held, request_status <> 'GRANT' AS awaited,
+    resource_type = 'OBJECT' AS whole_object, resource_type IN ('KEY', 'RID') AS row_lock, resource_type = 'PAGE' AS page,
+    NOT starts_with(request_mode, 'I') AS plain FROM snap),
+tally AS (SELECT db_name, object_name, count(*) AS overall_locks, count(*) FILTER (held) AS granted_locks,
+    count(DISTINCT session_id) FILTER (held) AS sessions_with_granted_locks,
+    count(DISTINCT session_id) FILTER (awaited) AS waiting_sessions, count(*) FILTER (awaited) AS waiting_locks,
+    count(*) FILTER (whole_object AND plain AND held) AS object_nonintent_locks_granted,
+    count(*) FILTER (whole_object AND awaited) AS object_locks_waiting,
+    count(*) FILTER (row_lock AND held) AS key_locks_granted, count(*) FILTER (row_lock AND awaited) AS key_locks_waiting,
+    count(*) FILTER (page AND held) AS page_locks_granted, count(*) FILTER (page AND awaited) AS page_locks_waiting,
+    count(*) FILTER (row_lock) AS key_locks
+  FROM marked GROUP BY ALL),
+whole_db AS (SELECT db_name, count(*) AS locks_in_db_overall FROM snap GROUP BY db_name)
+SELECT t.* EXCLUDE (key_locks), {_percent("key_locks", "overall_locks")} AS key_locks_pctg, locks_in_db_overall,
+       {_percent("overall_locks", "locks_in_db_overall")} AS tbl_locks_in_db_pctg
+FROM tally t JOIN whole_db USING (db_name)""",
     "head_blockers": _DETAIL.format(
-        party='"granted_SPID"', other='"waiting_SPID"', exists="NOT EXISTS", status="s.request_status", blocker=""
+        party='"granted_SPID"', other='"waiting_SPID"', belongs="NOT IN", status="s.request_status", blocker=""
     ),
     "mid_blockers": _DETAIL.format(
         party='"granted_SPID"',
         other='"waiting_SPID"',
-        exists="EXISTS",
+        belongs="IN",
         status=_WAITING_STATUS,
         blocker=", s.blocking_session_id",
     ),
     "leaf_waiters": _DETAIL.format(
         party='"waiting_SPID"',
         other='"granted_SPID"',
-        exists="NOT EXISTS",
+        belongs="NOT IN",
         status=_WAITING_STATUS,
         blocker=", s.blocking_session_id",
     ),

@@ -19,9 +19,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 AS_OF = datetime(2000, 1, 1)
-BACKUP_SHARE = "\\\\newServer\\backup_share\\"
-BACKUP_FOLDER = "E:\\Backup\\"
-DATA_FOLDER = "D:\\SQLServer\\data\\"
+BACKUP_SHARE = "\\\\vault\\nightly\\"
+BACKUP_FOLDER = "F:\\restore\\"
+DATA_FOLDER = "G:\\files\\"
 
 
 def query(name: str):

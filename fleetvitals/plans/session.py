@@ -8,13 +8,15 @@ from pyspark.sql import SparkSession
 GROUP_LIMIT = {"spark.sql.optimizer.windowGroupLimitThreshold": "20000"}
 
 # Joins of a large fact table with a key-unique side are left to adaptive execution: it broadcasts a side
-# whose measured size is small and splits a hot key of the fact side over many tasks.  The last setting
-# allows that split even where the join's partitioning would otherwise be reused by a later grouping.
+# whose measured size is small and splits a hot key of the fact side over many tasks.  Forcing allows
+# that split even where the join's partitioning would otherwise be reused by a later grouping.
 ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # hash instead of sort-merge once all partitions of a side have turned out this small
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
 
 

@@ -24,7 +24,7 @@ def delta_stream(
     has passed them, and then leave in time order.  The state of a key is its last emitted capture plus
     the captures of the last ``delay``.  The first capture of a key gives no row.
 
-    The counters are whole numbers.  Output mode is append; ``mode`` is as for ``counter_deltas``.
+    The counters are whole numbers, NULL counting as zero.  Output mode is append; ``mode`` is as for ``counter_deltas``.
     """
     if mode not in ("signed", "abs", "null"):
         raise ValueError("mode must be signed, abs or null")
@@ -48,6 +48,7 @@ def delta_stream(
     )
 
     def update(key, frames, state):
+        import numpy as np
         import pandas as pd
 
         width = 1 + len(counters)
@@ -64,24 +65,26 @@ def delta_stream(
         emitted = []
         for row in ready:
             if last:
-                change = [new - old for new, old in zip(row[1:], last[1:], strict=True)]
-                if mode == "abs":
-                    change = [abs(c) for c in change]
-                elif mode == "null":
-                    change = [c if c >= 0 else None for c in change]
-                emitted.append((*key, last[0], row[0], *change))
+                emitted.append((last, row))
             last = list(row)
         state.update((last, [value for row in kept for value in row]))
         if kept:
             # a timeout fires once the watermark has passed it, and has to lie beyond the present one
             state.setTimeoutTimestamp(max(kept[0][0] // 1000 - 1, state.getCurrentWatermarkMs() + 1))
         if emitted:
-            frame = pd.DataFrame(emitted, columns=[*keys, "from_time", time, *[f"{c}_delta" for c in counters]])
-            for name in ("from_time", time):
-                frame[name] = pd.to_datetime(frame[name], unit="us", utc=True)
-            for c in counters:
-                frame[f"{c}_delta"] = frame[f"{c}_delta"].astype("Int64")
-            yield frame
+            old, new = (np.array(side, dtype="int64") for side in zip(*emitted, strict=True))
+            columns = {name: [value] * len(emitted) for name, value in zip(keys, key, strict=True)}
+            for name, side in (("from_time", old), (time, new)):
+                columns[name] = pd.DatetimeIndex(side[:, 0].astype("datetime64[us]")).tz_localize("UTC")
+            for i, name in enumerate(counters, 1):
+                change = new[:, i] - old[:, i]
+                if mode == "abs":
+                    change = abs(change)
+                elif mode == "null":
+                    change = pd.array(change, dtype="Int64")
+                    change[change < 0] = pd.NA
+                columns[f"{name}_delta"] = change
+            yield pd.DataFrame(columns)
 
     return (
         stream.select(*keys, time, *[F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(c) for c in counters])

@@ -54,11 +54,11 @@ def test_report_and_next(ledger, events):
 
 def test_pending_work_extends_the_ledger(spark, ledger):
     catalog = spark.createDataFrame(
-        [(2, "model", "ONLINE"), (5, "a", "ONLINE"), (6, "new", "ONLINE"), (7, "off", "OFFLINE"), (8, "Maintenance", "ONLINE"),
+        [(2, "model", "ONLINE"), (5, "a", "ONLINE"), (6, "new", "ONLINE"), (7, "off", "OFFLINE"), (8, "toolbox", "ONLINE"),
          (9, None, "ONLINE")],
         fv.RELATIONS["databases"],
     )
-    pending = fv.pending_work(catalog, ledger, exclude=["Maintenance"])
+    pending = fv.pending_work(catalog, ledger, exclude=["toolbox"])
     assert [r["name"] for r in pending.collect()] == ["new"]
     commands = fv.render(pending.withColumnRenamed("name", "dbName"), {"backup_command": "backup {dbName}"})
     grown = fv.extend_ledger(ledger, commands, created=T4)
