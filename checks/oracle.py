@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from fleetvitals.operators.ledger import STATUS_TEXTS
+from fleetvitals.operators.workload import DRILL_DOWN, SINGLE_PLAN
 
 # ------------------------------------------------------------------------------------------- telemetry
 
@@ -310,6 +311,9 @@ FROM snap s JOIN contended c USING (session_id)"""
 _WAITING_STATUS = "if(s.request_status = 'GRANT', 'GRANT', '___' || s.request_status || '___')"
 
 
+_DIAGNOSIS = f"if(plan_handle = other_plan, '{SINGLE_PLAN}', '{DRILL_DOWN}' || CAST(query_hash AS VARCHAR))"
+
+
 def _percent(part: str, whole: str) -> str:
     return _half_up(f"({part} * 100)", whole, 2)
 
@@ -351,7 +355,8 @@ SELECT * FROM (
   WINDOW w AS (PARTITION BY wait_type ORDER BY captured_at, ms))
 WHERE from_time IS NOT NULL""",
     "query_rollup": "SELECT * FROM stats",
-    "plan_divergence": "SELECT query_hash, sql_handle, plan_handle <> other_plan AS has_other_plans FROM stats",
+    "plan_divergence": f"""
+SELECT query_hash, sql_handle, plan_handle <> other_plan AS has_other_plans, {_DIAGNOSIS} AS diagnosis_query FROM stats""",
     "top_queries": f"""
 SELECT d.name AS database_name, t.text AS query_text, p.query_plan, s.execution_count,
        (total_worker_time - max_worker_time - min_worker_time) // 1000 // nullif(execution_count - 2, 0) AS avg_time_ms,
@@ -361,7 +366,7 @@ SELECT d.name AS database_name, t.text AS query_text, p.query_plan, s.execution_
          AS avg_logical_reads,
        min_logical_reads, max_logical_reads, total_logical_reads,
        {_half_up("CAST(total_grant_MB * 10000 AS BIGINT)", "(execution_count * 10000)", 4)} AS "avg_grant_MB",
-       min_grant_MB, max_grant_MB, total_spills
+       min_grant_MB, max_grant_MB, total_spills, {_DIAGNOSIS.replace("(plan_handle =", "(s.plan_handle =")} AS diagnosis_query
 FROM stats s LEFT JOIN texts t ON t.sql_handle = s.sql_handle LEFT JOIN plans p ON p.plan_handle = s.plan_handle
 LEFT JOIN dbs d ON d.database_id = coalesce(t.dbid, p.dbid)
 ORDER BY execution_count DESC, query_hash, s.sql_handle LIMIT 100""",
@@ -544,6 +549,29 @@ GROUP BY 1, 2, 3, 4, 5""",
     "blocked_by": """
 SELECT blocking_session_id AS session_id, count(*) AS blocked_sessions_count, min(session_id) AS min_blocked_session_id
 FROM requests WHERE blocking_session_id IS NOT NULL AND blocking_session_id <> 0 GROUP BY 1""",
+    "lock_report": """
+WITH blocked AS (SELECT blocking_session_id AS session_id, min(session_id) AS lowest FROM requests
+  WHERE blocking_session_id <> 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+shown AS (SELECT session_id FROM blocked UNION ALL SELECT lowest FROM blocked)
+SELECT l.session_id, l.request_mode, l.request_status, o.name AS locked_object, l.resource_type, count(*) AS total_locks
+FROM shown JOIN tran_locks l USING (session_id)
+LEFT JOIN object_names o ON o.db_id = l.db_id AND o.object_id = l.entity_id GROUP BY 1, 2, 3, 4, 5""",
+    "locking_report": """
+WITH edges AS (SELECT DISTINCT session_id, blocking_session_id FROM snap),
+held AS (SELECT DISTINCT "granted_SPID" AS session_id, locked_object_name, resource_type, resource FROM pairs),
+awaited AS (SELECT DISTINCT "waiting_SPID" AS session_id, locked_object_name, resource_type, resource FROM pairs)
+SELECT 'snapshot' AS section, (SELECT count(*) FROM snap) AS "rows"
+UNION ALL SELECT 'wait_pairs', (SELECT count(*) FROM pairs)
+UNION ALL SELECT 'sessions', (SELECT count(*) FROM (SELECT DISTINCT session_id FROM snap))
+UNION ALL SELECT 'objects', (SELECT count(*) FROM (SELECT DISTINCT db_name, object_name FROM snap))
+UNION ALL SELECT 'head_blockers', (SELECT count(*) FROM snap JOIN held USING (session_id)
+                                   WHERE session_id NOT IN (SELECT session_id FROM awaited))
+UNION ALL SELECT 'mid_blockers', (SELECT count(*) FROM snap JOIN held USING (session_id)
+                                  WHERE session_id IN (SELECT session_id FROM awaited))
+UNION ALL SELECT 'leaf_waiters', (SELECT count(*) FROM snap JOIN awaited USING (session_id)
+                                  WHERE session_id NOT IN (SELECT session_id FROM held))
+UNION ALL SELECT 'blocking_chains', (SELECT count(DISTINCT c.session_id) FROM edges c
+                                     JOIN edges p ON p.session_id = c.blocking_session_id)""",
     "generate_tasks": """
 SELECT n AS task_id, CAST(n % 10 AS INTEGER) AS stage, '2000-01-01 00:00:00' AS valid_to
 FROM (SELECT row_number() OVER () AS n FROM orders)""",

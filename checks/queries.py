@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,12 +180,12 @@ def query_rollup(t):
 
 @query("plan_divergence")
 def plan_divergence(t):
-    return fv.plan_divergence(fv.rollup_query_stats(t.query_stats)).drop("diagnosis_query")
+    return fv.plan_divergence(fv.rollup_query_stats(t.query_stats))
 
 
 @query("top_queries")
 def top_queries(t):
-    return fv.top_queries(t.query_stats, t.sql_text, t.query_plans, t.databases).drop("diagnosis_query")
+    return fv.top_queries(t.query_stats, t.sql_text, t.query_plans, t.databases)
 
 
 @query("plans_for_query")
@@ -403,6 +403,27 @@ def blocked_by(t):
     return fv.blocked_by(t.requests)
 
 
+@query("lock_report")
+def lock_report(t):
+    """The report of the session that blocks most others."""
+    most = fv.blocked_by(t.requests).orderBy(F.desc("blocked_sessions_count"), "session_id").first()["session_id"]
+    report = fv.lock_report(t.tran_locks, t.requests, t.lock_partitions, t.lock_objects, most)
+    return report["locks"].unionByName(report["blocked_locks"])
+
+
+@query("locking_report")
+def locking_report(t):
+    """Rows in every section of the detailed report."""
+    report = fv.locking_report(
+        _inputs(t), t.active_snapshot_tx, "DETAILED", chains=True, snapshot_path=scratch_path(t.spark, "report")
+    )
+    counts = [
+        rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(section).alias("section"), "rows")
+        for section, rows in report.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 # ------------------------------------------------------------------------------------------------- tables
 
 
