@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fleetvitals.functions import CATALOG_SCOPE, half_up, scope_of
 from fleetvitals.operators.chains import blocking_chains
 from fleetvitals.operators.filters import LAST_SYSTEM_DATABASE, optional_filter, require_exists
-from fleetvitals.plans import block_join
+from fleetvitals.plans import block_join, durable
 from fleetvitals.sources import load_or_build
 
 GRANTED = "GRANT"
@@ -774,6 +774,9 @@ def locking_report(
         snapshot = build().persist()
     wanted = {"db_name": db_name, "spid": spid, "login": login}
     parties = contention(snapshot, by, **wanted)
+    if mode == "DETAILED":
+        # four sections read these two sets
+        parties = Contention(durable(parties.holders), durable(parties.waiters))
     report = {
         "snapshot": snapshot,
         "wait_pairs": wait_pair_report(wait_pairs(snapshot, by, **wanted), by),
