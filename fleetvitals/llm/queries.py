@@ -14,6 +14,7 @@ from fleetvitals.llm.forest import nearest_query
 from fleetvitals.llm.minhash import near_dedup_query
 from fleetvitals.llm.mixing import MIXING_SQL, mixing_query
 from fleetvitals.llm.sharding import sharding_query
+from fleetvitals.llm.suffixes import suffix_query
 from fleetvitals.llm.toxicity import toxicity_query
 from fleetvitals.plans import tune
 
@@ -34,6 +35,7 @@ QUERIES = {
     "op5_token_counts": _over(token_counts_query, "documents"),
     "op6_near_dedup": _over(near_dedup_query, "documents"),
     "op7_toxicity": _over(toxicity_query, "documents", "labels"),
+    "op8_repeated_spans": _over(suffix_query, "documents"),
     "op9_bpe": _over(bpe_query, "documents"),
     "op10_exact_dedup": _over(exact_dedup_query, "documents"),
 }
