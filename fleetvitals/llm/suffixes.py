@@ -36,7 +36,7 @@ SUFFIX_BUCKETS = 2
 NULL_ID = (1 << 63) - 1
 _COPY, _FLAGS, _STARTS = 0, 1, 2
 _SIDE = "chunk int, kind int, id bigint, n int, data binary"
-_RECORD = np.dtype([("name", "<u8"), ("id", "<i8"), ("row", "<i4"), ("at", "<i4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", BEFORE + LENGTH)])
+_RECORD = np.dtype([("id", "<i8"), ("row", "<i4"), ("at", "<i4"), ("left", "u1"), ("right", "u1")])
 _START = np.dtype([("row", "<i4"), ("at", "<i4"), ("mask", "<i4")])
 
 
@@ -142,7 +142,7 @@ def _suffixes(buckets: int, suffix_buckets: int):
     """Sample suffixes of a chunk whose prefix is repeated, with the bytes before them, by bucket of the prefix."""
 
     def run(key: tuple, rows: pa.Table, side: pa.Table) -> pa.Table:
-        columns = [[], [], []]
+        columns = [[], [], [], []]
         marks = _of(side, _FLAGS)
         if rows.num_rows and marks.num_rows:
             chunk = Chunk(rows, side)
@@ -157,42 +157,45 @@ def _suffixes(buckets: int, suffix_buckets: int):
                 hit = flags[np.searchsorted(distinct, own)]
                 row, at, place = row[hit], at[hit], place[hit]
                 records = np.zeros(len(at), dtype=_RECORD)
-                records["name"], records["id"], records["row"], records["at"] = names[hit], chunk.ids[first + row], first + row, place
+                records["id"], records["row"], records["at"] = chunk.ids[first + row], first + row, place
                 records["left"] = np.minimum(place, BEFORE)
                 records["right"] = np.minimum(some.bounds[row + 1] - at, LENGTH)
                 spread = at[:, None] + np.arange(-BEFORE, LENGTH)
-                records["bytes"] = some.data[np.clip(spread, 0, max(len(some.data) - 1, 0))] if len(at) else 0
-                found.append(records)
-            records = np.concatenate(found)
-            bucket = (records["name"] % np.uint64(suffix_buckets)).astype(np.int64)
-            order = np.lexsort((records["name"], bucket))
-            records, bucket = records[order], bucket[order]
+                found.append((names[hit], records, some.data[np.clip(spread, 0, max(len(some.data) - 1, 0))]))
+            names, records, context = (np.concatenate(column) for column in zip(*found, strict=True))
+            bucket = (names % np.uint64(suffix_buckets)).astype(np.int64)
+            order = np.lexsort((names, bucket))
+            records, context, bucket = records[order], context[order], bucket[order]
             bounds = np.searchsorted(bucket, np.arange(suffix_buckets + 1))
             for b in np.flatnonzero(np.diff(bounds)):
-                for column, value in zip(columns, (b, key[0].as_py(), _pack(records[bounds[b] : bounds[b + 1]])), strict=True):
+                part = slice(bounds[b], bounds[b + 1])
+                # texts have most in common row by row
+                rowwise = zstandard.compress(context[part].tobytes(), 3)
+                for column, value in zip(columns, (b, key[0].as_py(), _pack(records[part]), rowwise), strict=True):
                     column.append(value)
-        types = [pa.int32(), pa.int32(), pa.binary()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "chunk", "data"])
+        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "chunk", "data", "context"])
 
     return run
 
 
-def _sorted_common(data: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of byte rows under their names, and how many first bytes each shares with the one before it (-1: new name)."""
+def _sorted_common(data: np.ndarray, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of byte rows, under their names if given, and how many first bytes each shares with the one before it."""
     width = -(-data.shape[1] // 8)
     padded = np.zeros((len(data), width * 8), dtype=np.uint8)
     padded[:, : data.shape[1]] = data
     parts = padded.view(">u8").astype(np.uint64)
-    order = np.lexsort((*parts.T[::-1], names))
+    order = np.lexsort(parts.T[::-1] if names is None else (*parts.T[::-1], names))
     rows = data[order]
     other = rows[1:] != rows[:-1]
     common = np.full(len(data), -1, dtype=np.int64)
     common[1:] = np.where(other.any(axis=1), other.argmax(axis=1), data.shape[1])
-    common[1:][names[order][1:] != names[order][:-1]] = -1
+    if names is not None:
+        common[1:][names[order][1:] != names[order][:-1]] = -1
     return order, common
 
 
-def covered_starts(records: np.ndarray) -> np.ndarray:
+def covered_starts(records: np.ndarray, context: np.ndarray) -> np.ndarray:
     """For each sample suffix the bit d set if the string of LENGTH bytes d before it also starts in a smaller id.
 
     The suffixes are sorted by what follows and by what precedes them (read backwards).  The strings that start d
@@ -200,8 +203,10 @@ def covered_starts(records: np.ndarray) -> np.ndarray:
     both orders, cut where neighbours share less, name the strings; the least id of a name decides.
     """
     mask = np.zeros(len(records), dtype=np.int32)
-    forwards, ahead = _sorted_common(records["bytes"][:, BEFORE:], records["name"])
-    backwards, behind = _sorted_common(records["bytes"][:, :BEFORE][:, ::-1], records["name"])
+    forwards, ahead = _sorted_common(context[:, BEFORE:])
+    prefix = np.empty(len(records), np.int64)
+    prefix[forwards] = np.cumsum(ahead < PREFIX)
+    backwards, behind = _sorted_common(context[:, :BEFORE][:, ::-1], prefix)
     ids, left, right = records["id"], records["left"], records["right"]
     after, before = np.empty(len(records), np.int64), np.empty(len(records), np.int64)
     for d in range(PERIOD):
@@ -227,7 +232,8 @@ def _ranked(key: tuple, rows: pa.Table) -> pa.Table:
     chunk = np.repeat(rows["chunk"].to_numpy(), [len(p) for p in parts])
     records = np.concatenate(parts)
     del parts
-    mask = covered_starts(records)
+    context = np.frombuffer(b"".join(map(zstandard.decompress, rows["context"].to_pylist())), np.uint8)
+    mask = covered_starts(records, context.reshape(-1, BEFORE + LENGTH))
     hit = np.flatnonzero(mask)
     hit = hit[np.argsort(chunk[hit], kind="stable")]
     starts = np.zeros(len(hit), dtype=_START)
@@ -304,7 +310,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     prefixes = with_texts(copies).applyInArrow(_prefixes(buckets), "bucket int, chunk int, n int, values binary, several binary")
     flags = prefixes.groupBy("bucket").applyInArrow(_repeated, _SIDE)
-    suffixes = with_texts(copies.union(flags)).applyInArrow(_suffixes(buckets, buckets * SUFFIX_BUCKETS), "bucket int, chunk int, data binary")
+    suffixes = with_texts(copies.union(flags)).applyInArrow(_suffixes(buckets, buckets * SUFFIX_BUCKETS), "bucket int, chunk int, data binary, context binary")
     starts = suffixes.groupBy("bucket").applyInArrow(_ranked, _SIDE)
     result = with_texts(copies.union(starts)).applyInArrow(
         _removed, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
