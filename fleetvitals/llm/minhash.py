@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from fleetvitals.llm import text
 from fleetvitals.llm.graph import components
-from fleetvitals.plans import block_join, durable
+from fleetvitals.plans import durable
 
 # Two collections of COLLECTION half keys of HALF minhashes; each pair of half keys is a table's key.
 COLLECTION = 10
 HALF = 3
 PERCENT = 80
+# Members of a group compared with each other in one step of a task.
+BLOCK = 1_000
+TASKS = 1_024
 
 _SIGNATURE = "_id bigint, n_shingles bigint, f1 bigint, f2 bigint, left array<bigint>, right array<bigint>"
 
@@ -64,15 +67,74 @@ def _sets(width: int):
     return run
 
 
-def _similar(x: str, y: str, percent: int) -> str:
-    """Sizes that allow the similarity: the smaller set can't share more than all of itself."""
-    return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
+def _linked(a: dict, b: dict, collection: int, percent: int, one: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two lists of members that share left half key number ``a["i"]``, from their full sets.
+
+    A pair is looked at if it isn't connected yet, its sizes allow the similarity, it shares a right half key, and this
+    is the first left half key that it shares.  ``one``: both lists are the same.
+    """
+    small, large = np.minimum.outer(a["n"], b["n"]), np.maximum.outer(a["n"], b["n"])
+    wanted = (a["c"][:, None] != b["c"]) & (100 * small >= percent * large)
+    for k in range(a["i"]):
+        wanted &= a["left"][:, k][:, None] != b["left"][:, k]
+    shared = np.zeros_like(wanted)
+    for k in range(collection):
+        shared |= a["right"][:, k][:, None] == b["right"][:, k]
+    wanted &= shared
+    if one:
+        wanted = np.triu(wanted, 1)
+    out = [], []
+    for x in np.flatnonzero(wanted.any(axis=1)):
+        own, others = a["sets"][x], np.flatnonzero(wanted[x])
+        sizes = b["n"][others]
+        joined = np.concatenate([b["sets"][y] for y in others])
+        at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+        ends = np.cumsum(sizes)
+        hits = np.cumsum(own[at] == joined)[ends - 1]
+        both = np.diff(hits, prepend=0)
+        good = others[100 * both >= percent * (len(own) + sizes - both)]
+        out[0].extend([a["id"][x]] * len(good))
+        out[1].extend(b["id"][good])
+    return out
+
+
+def _compared(collection: int, percent: int):
+    """Links inside blocks of members; rows of many blocks come together, each with its group and two piece numbers."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks().sort_by([(c, "ascending") for c in ("l", "i", "low", "high", "piece", "m")])
+        place = np.column_stack([rows[c].to_numpy() for c in ("l", "i", "low", "high")])
+        starts = np.flatnonzero(np.append(True, (place[1:] != place[:-1]).any(axis=1)))
+        lists = {c: rows[c].combine_chunks() for c in ("left", "right", "shingles")}
+        half = {c: lists[c].flatten().to_numpy().reshape(-1, collection) for c in ("left", "right")}
+        bounds, flat = lists["shingles"].offsets.to_numpy(), lists["shingles"].values.to_numpy().view(np.uint64)
+        ids, sizes, component, piece = (rows[c].to_numpy() for c in ("m", "n", "c", "piece"))
+        out = [], []
+
+        def members(at: np.ndarray) -> dict:
+            sets = [flat[bounds[k] : bounds[k + 1]] for k in at]
+            return {"i": place[at[0], 1], "id": ids[at], "n": sizes[at], "c": component[at], "sets": sets} | {c: half[c][at] for c in half}
+
+        for start, end in zip(starts, np.append(starts[1:], len(place)), strict=True):
+            at = np.arange(start, end)
+            low, high = (at[piece[at] == place[start, k]] for k in (2, 3))
+            if len(low) and len(high):
+                made = _linked(members(low), members(high), collection, percent, place[start, 2] == place[start, 3])
+                for column, values in zip(out, made, strict=True):
+                    column.extend(values)
+        return pa.table([pa.array(column, pa.int64()) for column in out], ["a", "b"])
+
+    return run
+
+
+def _made_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``id`` and ``shingles`` of the wanted rows."""
+    return texts.join(wanted, "_id", "left_semi").select("_id", "_text").mapInArrow(_sets(width), "id bigint, shingles array<bigint>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough; only sets of candidates are made."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    sets = texts.join(wanted, "_id", "left_semi").select("_id", "_text").mapInArrow(_sets(width), "id bigint, shingles array<bigint>")
+    sets = _made_sets(texts, pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), width)
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"
     )
@@ -99,10 +161,11 @@ def near_groups(
     2 * (1 - s ** half) ** collection: 1.5e-3 at 0.8 and 3e-5 at 0.9 with the defaults.
 
     Rows with the same set (128-bit fingerprint and size) are one representative.  A bucket of representatives
-    is not expanded into its pairs.  Candidates are confirmed in three rounds, and pairs that earlier rounds have
-    joined already are left out: (1) every representative with the least hub of its buckets, (2) with the hub of
-    each bucket, (3) pairs inside a bucket that are still in different components, through ``block_join``, which
-    splits hot buckets.  Every candidate pair is therefore confirmed or already connected; none is dropped.
+    is not expanded into its pairs.  Candidates are confirmed in three rounds, and what earlier rounds have connected
+    is left out: (1) every representative with the least hub of its buckets, (2) with the hub of each bucket, (3)
+    members of buckets that still hold different components, with each other.  For (3) they come together with
+    their sets by left half key, in blocks of ``BLOCK`` x ``BLOCK`` that split hot groups over tasks, and only links
+    leave a task.  Every candidate pair is therefore confirmed or already connected; none is dropped.
 
     Half keys of all rows are checkpointed (200 bytes a row) and the tables' keys expanded from them.
 
@@ -116,10 +179,10 @@ def near_groups(
     first = usable.groupBy("f1", "f2", "n_shingles").agg(F.min("_id").alias("rep"))
     # an id that stands for two texts joins them
     reps = usable.join(first.withColumnRenamed("rep", "_id"), ["_id", "f1", "f2", "n_shingles"], "left_semi").dropDuplicates(["_id", "f1", "f2"])
-    left = reps.select("_id", "n_shingles", "right", F.posexplode("left").alias("i", "l"))
-    keys = left.select("_id", "n_shingles", "i", "l", F.posexplode("right").alias("j", "r")).select(
-        F.col("_id").alias("m"), F.col("n_shingles").alias("n"), F.xxhash64("i", "j", "l", "r").alias("key")
-    )
+    left = reps.select("_id", "right", F.posexplode("left").alias("i", "l"))
+    # the number of the left half key stays readable in the low bits
+    hashed = F.xxhash64("i", "j", "l", "r").bitwiseAND(F.lit(-256)).bitwiseOR(F.col("i").cast("bigint"))
+    keys = left.select("_id", "i", "l", F.posexplode("right").alias("j", "r")).select(F.col("_id").alias("m"), hashed.alias("key"))
     hubs = keys.groupBy("key").agg(F.min("m").alias("hub"), F.max("m").alias("_last")).where("hub < _last").select("key", "hub")
     buckets = durable(keys.join(hubs, "key"))
 
@@ -138,16 +201,22 @@ def near_groups(
     second = durable(unlinked(stars.join(tried, ["a", "b"], "left_anti"), labels))
     links = durable(links.union(_confirmed(second, texts, width, percent)))
     labels = components(links)
-    tagged = buckets.join(labels, buckets["m"] == labels["id"], "left").select(
-        "key", "m", "n", F.coalesce("component", "m").alias("c")
-    )
+    tagged = buckets.join(labels, buckets["m"] == labels["id"], "left").select("key", "m", F.coalesce("component", "m").alias("c"))
     mixed = tagged.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high").select("key")
-    open_ = durable(tagged.join(mixed, "key", "left_semi"))
-    x = open_.select("key", F.col("m").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = open_.select("key", F.col("m").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = block_join(x, y, ["key"]).where(f"a < b AND ca <> cb AND {_similar('na', 'nb', percent)}").select("a", "b").distinct()
-    third = durable(rest.join(tried.union(second), ["a", "b"], "left_anti"))
-    links = durable(links.union(_confirmed(third, texts, width, percent)))
+    open_ = tagged.join(mixed, "key", "left_semi").select("m", "c", F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("i")).distinct()
+    known = reps.select(F.col("_id").alias("m"), F.col("n_shingles").alias("n"), "left", "right")
+    grouped = durable(open_.join(known, "m").withColumn("l", F.col("left")[F.col("i")]))
+    pieces = grouped.groupBy("i", "l").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("pieces"))
+    placed = grouped.join(pieces, ["i", "l"]).withColumn("piece", F.pmod(F.xxhash64("m"), "pieces").cast("int"))
+    placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    placed = placed.withColumn("low", F.least("piece", "_other")).withColumn("high", F.greatest("piece", "_other"))
+    sets = _made_sets(texts, grouped.select(F.col("m").alias("_id")).distinct(), width).withColumnRenamed("id", "m")
+    # tasks take many small blocks at once; a block is never split
+    tasks = F.pmod(F.xxhash64("i", "l", "low", "high"), F.lit(TASKS)).alias("task")
+    compared = placed.drop("_other", "pieces").join(sets, "m").where(F.size("shingles") == F.col("n")).groupBy(tasks).applyInArrow(
+        _compared(collection, percent), "a bigint, b bigint"
+    )
+    links = durable(links.union(compared.distinct()))
 
     named = usable.join(first, ["f1", "f2", "n_shingles"])
     own = named.where("_id <> rep").select(F.col("rep").alias("a"), F.col("_id").alias("b")).distinct()
