@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 # Bounds on what a Python worker remembers; beyond them it starts anew, with the same results.
-MEMORY_STATES = 250_000
-MEMORY_PIECES = 200_000
+MEMORY_STATES = 130_000
+MEMORY_PIECES = 100_000
 LONGEST_REMEMBERED = 64
 
 
