@@ -198,7 +198,7 @@ def plans_for_query(t):
 
 @query("index_usage")
 def index_usage(t):
-    return fv.index_usage(t.index_usage, t.indexes, t.objects, t.schemas)
+    return fv.index_usage(t.index_usage, t.indexes, t.objects, t.schemas).drop("database_id")
 
 
 # ----------------------------------------------------------------------------------------------- catalog
@@ -210,28 +210,28 @@ def _catalog(t: Telemetry) -> fv.Catalog:
 
 @query("object_sizes")
 def object_sizes(t):
-    return fv.object_sizes(_catalog(t), last_internal_object=-1)
+    return fv.object_sizes(_catalog(t), last_internal_object=-1).drop("database_id")
 
 
 @query("object_sizes_by_index")
 def object_sizes_by_index(t):
-    return fv.object_sizes(_catalog(t), by_index=True, last_internal_object=-1)
+    return fv.object_sizes(_catalog(t), by_index=True, last_internal_object=-1).drop("database_id")
 
 
 @query("object_sizes_rolled_up")
 def object_sizes_rolled_up(t):
-    return fv.object_sizes(_catalog(t), rollup_rows=True, last_internal_object=-1)
+    return fv.object_sizes(_catalog(t), rollup_rows=True, last_internal_object=-1).drop("database_id")
 
 
 @query("object_sizes_all")
 def object_sizes_all(t):
-    return fv.object_sizes_all(_catalog(t), t.databases, last_internal_object=-1)
+    return fv.object_sizes_all(_catalog(t), t.databases, last_internal_object=-1).drop("database_id")
 
 
 @query("object_sizes_named")
 def object_sizes_named(t):
     names = "NATION_1, NATION_7,   NATION_12, nowhere"
-    return fv.object_sizes_all(_catalog(t), t.databases, names, by_index=True, last_internal_object=-1)
+    return fv.object_sizes_all(_catalog(t), t.databases, names, by_index=True, last_internal_object=-1).drop("database_id")
 
 
 @query("placement_drift")

@@ -73,7 +73,7 @@ def object_sizes(
     on_schema = [*scope_of(named, schemas, names=CATALOG_SCOPE), "schema_id"]
     named = named.join(schemas.select(*on_schema, F.col("name").alias("_schema")), on_schema, "left")
 
-    tags = [c for c in ("server_id", "captured_at", "database_name") if c in named.columns]
+    tags = [c for c in ("server_id", "captured_at", "database_id", "database_name") if c in named.columns]
     groups = [*tags, "_schema", "_table", *([] if rollup_rows else ["rows"]), *(["index_name"] if by_index else [])]
     sums = [F.sum("total_pages").alias("_total"), F.sum("used_pages").alias("_used")]
     if rollup_rows:

@@ -10,9 +10,6 @@ from fleetvitals.plans import durable
 
 ARROW = " -> "
 
-# The text of a chain before the session itself is cut to this length (fixed value).
-CHAIN_WIDTH = 100
-
 
 def blocking_edges(snapshot: DataFrame) -> DataFrame:
     """Distinct (session, blocker) pairs of a lock snapshot."""
@@ -39,7 +36,7 @@ def _short_chains(snapshot: DataFrame) -> DataFrame:
         *scope, F.col("session_id").alias("blocking_session_id"), F.col("blocking_session_id").alias("_above")
     )
     prefix = F.coalesce(F.concat(F.col("_above").cast("string"), F.lit(ARROW)), F.lit(""))
-    chain = F.substring(F.concat(prefix, F.col("blocking_session_id").cast("string")), 1, CHAIN_WIDTH)
+    chain = F.concat(prefix, F.col("blocking_session_id").cast("string"))
     chains = (
         edges.join(above, [*scope, "blocking_session_id"])
         .select(*scope, "session_id", chain.alias("_chain"))

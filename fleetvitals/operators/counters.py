@@ -29,6 +29,18 @@ FILE_COUNTERS = (
 RESETS = ("reference", "null")
 
 
+def latest_capture(side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of each key's latest capture.  Counters are cumulative, so earlier captures of a side say nothing more.
+
+    Without ``captured_at`` a side is one capture.
+    """
+    if "captured_at" not in side.columns:
+        return side
+    last = side.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("captured_at").alias("_at"))
+    match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return side.join(last, [*match, F.col("captured_at") == F.col("_at")]).select(*side.columns)
+
+
 def wait_delta(before: DataFrame, after: DataFrame, reset: str = "reference") -> DataFrame:
     """Absolute change of each wait counter between two snapshots; a missing side counts as zero.
 
@@ -41,6 +53,7 @@ def wait_delta(before: DataFrame, after: DataFrame, reset: str = "reference") ->
     if reset not in RESETS:
         raise ValueError(f"reset must be one of {RESETS}")
     keys = [*scope_of(before, after, names=SERVER_SCOPE), "wait_type"]
+    before, after = latest_capture(before, keys), latest_capture(after, keys)
     sides = [
         side.select(*keys, *[(F.coalesce(F.col(c), F.lit(0)) * sign).alias(n) for c, n in WAIT_COUNTERS.items()])
         for side, sign in ((before, -1), (after, 1))
@@ -55,8 +68,6 @@ def wait_delta(before: DataFrame, after: DataFrame, reset: str = "reference") ->
     return change.where(F.col("wait_count") != 0).select(*keys, *[F.abs(n).alias(n) for n in names])
 
 
-
-
 def wait_report(delta: DataFrame, order: str = "wait_time") -> DataFrame:
     """Readable wait report, most waited first."""
     keys = [*scope_of(delta, names=SERVER_SCOPE), "wait_type"]
@@ -110,6 +121,7 @@ def io_delta(before: DataFrame, after: DataFrame, null_zero_stall: bool = False)
     when set.  ``avg_latency_ms`` is operations per stalled millisecond; ``stall_ms_per_op`` is the inverse.
     """
     keys = [*scope_of(before, after, names=SERVER_SCOPE), "name", "file_id"]
+    before, after = latest_capture(before, keys), latest_capture(after, keys)
     earlier = before.select(*keys, *[F.col(c).alias(f"was_{c}") for c in FILE_COUNTERS])
     both = after.join(earlier, keys)
     both = both.select(
@@ -179,16 +191,16 @@ def counter_deltas(
     rows = history.select(*keys, time, *counters).withColumn(
         "_bucket", F.floor(F.unix_seconds(instant) / F.lit(bucket_seconds)).cast("bigint")
     )
-    for name in [*keys, "_bucket"]:
-        rows = rows.where(F.col(name).isNotNull())
+    # a row without a time has no place in the history; a null key is a key
+    rows = rows.where(F.col("_bucket").isNotNull())
     in_bucket = Window.partitionBy(*keys, "_bucket").orderBy(time, *counters)
     inner = rows.withColumn("_was", F.lag(state).over(in_bucket))
     last = rows.groupBy(*keys, "_bucket").agg(F.max(state).alias("_last"))
     carried = last.select(
-        *keys, "_bucket", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry")
+        *[F.col(c).alias(f"_of_{c}") for c in [*keys, "_bucket"]], F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry")
     )
     paired = (
-        inner.join(carried, [*keys, "_bucket"], "left")
+        inner.join(carried, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*keys, "_bucket"]], "left")
         .withColumn("_was", F.coalesce("_was", "_carry"))
         .where(F.col("_was").isNotNull())
     )

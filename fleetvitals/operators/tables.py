@@ -145,12 +145,11 @@ def repeat_update(
         .where(F.col("_found") == n)
         .select("_round", "_cut")
     )
-    small = rounds * n <= 100_000  # bounds both lists that are broadcast
-    left = numbered(keys).join(F.broadcast(cuts) if small else cuts, "_round", "left")
+    left = numbered(keys).join(cuts, "_round", "left")
     left = left.where(F.col("_cut").isNull() | (F.col("_order") <= F.col("_cut")))
     hits = _drawn(left, key, n).groupBy(key).agg(F.count(F.lit(1)).alias("_hits"))
     type_ = dict(df.dtypes)[column]
-    met = df.join(F.broadcast(hits) if small else hits, key, "left")
+    met = df.join(hits, key, "left")
     gained = (F.col(column) + F.coalesce(F.col("_hits"), F.lit(0))).cast(type_)
     return met.select(*[gained.alias(c) if c == column else F.col(c) for c in df.columns])
 

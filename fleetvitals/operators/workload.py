@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetvitals.functions import CATALOG_SCOPE, SERVER_SCOPE, div, half_up, scope_of, trimmed_mean
+from fleetvitals.functions import CATALOG_SCOPE, div, half_up, scope_of, trimmed_mean
 from fleetvitals.operators.filters import optional_filter
 from fleetvitals.plans import durable
 
-# The rows of a top-n report are broadcast up to this many; beyond it the planner decides.
-SMALL_REPORT = 10_000
-
 # Shown when a query has one plan (fixed value).
 SINGLE_PLAN = "there is only one plan in cache, you see everything"
 
@@ -29,7 +26,7 @@ def rollup_query_stats(query_stats: DataFrame) -> DataFrame:
 
     ``plan_handle`` and ``other_plan`` are the greatest and the least handle: equal for a single plan.
     """
-    keys = [*scope_of(query_stats, names=SERVER_SCOPE), "query_hash", "sql_handle"]
+    keys = [*scope_of(query_stats), "query_hash", "sql_handle"]
     sums = query_stats.groupBy(*keys).agg(
         F.sum("execution_count").alias("execution_count"),
         F.sum("total_worker_time").alias("total_worker_time"),
@@ -60,7 +57,7 @@ def plan_divergence(rollup: DataFrame) -> DataFrame:
     """Whether a query has more than one plan, and the text that lists them when it has."""
     one = F.col("plan_handle") == F.col("other_plan")
     return rollup.select(
-        *scope_of(rollup, names=SERVER_SCOPE),
+        *scope_of(rollup),
         "query_hash",
         "sql_handle",
         F.coalesce(~one, F.lit(True)).alias("has_other_plans"),
@@ -81,7 +78,7 @@ def _lookup(
 
     With ``handles``, only those handles of the table are read beyond the scan.
     """
-    keys = [*scope_of(rows, table, names=SERVER_SCOPE), on]
+    keys = [*scope_of(rows, table), on]
     if handles is not None:
         table = table.join(handles.select(*keys), keys, "left_semi")
     first = table.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("_hit"))
@@ -106,8 +103,8 @@ def top_queries(
     """
     order = [F.desc("execution_count"), "query_hash", "sql_handle"]
     top = durable(rollup_query_stats(query_stats).orderBy(*order).limit(n))
-    found = _with_text(top, sql_text, query_plans, F.broadcast(top) if n <= SMALL_REPORT else top)
-    scope = scope_of(found, databases, names=SERVER_SCOPE)
+    found = _with_text(top, sql_text, query_plans, top)
+    scope = scope_of(found, databases)
     names = databases.select(
         *scope, F.col("database_id").alias("_db").cast("bigint"), F.col("name").alias("database_name")
     )
@@ -123,7 +120,7 @@ def top_queries(
     # total_grant_MB has four decimals: its ten-thousandths are whole
     grant = (F.col("total_grant_MB") * 10_000).cast("bigint")
     return found.orderBy(*order).select(
-        *scope_of(query_stats, names=SERVER_SCOPE),
+        *scope_of(query_stats),
         "database_name",
         "query_text",
         "query_plan",
@@ -151,7 +148,7 @@ def plans_for_query(
     picked = optional_filter(query_stats, query_hash=query_hash)
     found = _with_text(picked, sql_text, query_plans, None if query_hash is None else picked)
     return found.select(
-        *scope_of(query_stats, names=SERVER_SCOPE),
+        *scope_of(query_stats),
         "query_hash",
         F.col("query_text").alias("text"),
         "query_plan",
@@ -183,7 +180,7 @@ def index_usage(
     on_schema = [*scope_of(named, schemas, names=CATALOG_SCOPE), "schema_id"]
     named = named.join(schemas.select(*on_schema, F.col("name").alias("_schema")), on_schema)
     return named.select(
-        *scope_of(usage),
+        *scope_of(usage, names=CATALOG_SCOPE),
         F.concat("_schema", F.lit("."), "_object").alias("table_name"),
         "index_name",
         "user_seeks",

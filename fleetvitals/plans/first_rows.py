@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 
+# Groups of input tasks whose draws are merged first.
 GROUPS = 1024
-_THRESHOLD = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def first_rows(df: DataFrame, order: list[Column | str], k: int) -> DataFrame:
-    """``df.orderBy(*order).limit(k)`` in two steps.
+    """The first ``k`` rows by ``order``, by the same plan for every ``k``.
 
-    A plain top-k sends ``k`` rows of every input task to one task, which is too many when a table has
-    hundreds of thousands of input splits.  Here the rows of each input task are cut to ``k``, groups of
-    input tasks are cut to ``k`` together, and only the ``GROUPS`` leftovers meet in one task.  The cut
-    inside the input task is Spark's group limit, which applies up to a configured ``k``; beyond it the
-    plain top-k is used.  ``order`` should end in a unique key, so that the result is the same every time.
+    Each task keeps ``k`` rows while it reads, so the table is never sorted; one task merges what they kept.
+    ``order`` should end in a unique key, so that the result is the same every time.
     """
-    if k > int(df.sparkSession.conf.get(_THRESHOLD)):
-        return df.orderBy(*order).limit(k)
-    group = F.pmod(F.spark_partition_id(), F.lit(GROUPS))
-    rank = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
-    kept = df.withColumn("_group", group).withColumn("_rank", rank).where(F.col("_rank") <= k)
-    return kept.drop("_group", "_rank").orderBy(*order).limit(k)
+    return df.orderBy(*order).limit(k)

@@ -168,3 +168,17 @@ def test_delta_stream_takes_late_captures_in_order(spark, tmp_path):
     writer.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == _expected(history, lambda d: d)
+
+
+def test_a_side_is_its_latest_capture(spark):
+    kind = "captured_at int, wait_type string, wait_time_ms bigint, signal_wait_time_ms bigint, waiting_tasks_count bigint"
+    before = spark.createDataFrame([(1, "A", 100, 0, 1), (2, "A", 110, 0, 2)], kind)
+    after = spark.createDataFrame([(3, "A", 120, 0, 5)], kind)
+    assert [tuple(r) for r in fv.wait_delta(before, after).collect()] == [("A", 10, 0, 3)]
+
+
+def test_null_keys_have_a_history(spark):
+    history = spark.createDataFrame([(None, 1, 5), (None, 2, 9), ("k", 1, 1)], "key string, captured_at int, n bigint")
+    history = history.withColumn("captured_at", F.timestamp_seconds("captured_at"))
+    got = fv.counter_deltas(history, ["key"], ["n"]).collect()
+    assert [(r["key"], r["n_delta"]) for r in got] == [(None, 4)]

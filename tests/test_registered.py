@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import database, differences
+from checks.queries import REGISTRY
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -20,7 +21,7 @@ def test_contract(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(REGISTRY))
 def test_query(spark, connection, name):
     df = contract.queries()[name](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -1,6 +1,7 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 import fleetvitals as fv
 from fleetvitals.operators.workload import SINGLE_PLAN
@@ -75,5 +76,17 @@ def test_index_usage_of_one_database(spark, rows):
     schemas = spark.createDataFrame([(1, "dbo")], fv.RELATIONS["schemas"])
     got = rows(fv.index_usage(usage, indexes, objects, schemas, database_id=5))
     assert got == [
-        {"table_name": "dbo.t", "index_name": "pk", "user_seeks": 1, "user_scans": 2, "user_lookups": 3, "user_updates": 4}
+        {"database_id": 5, "table_name": "dbo.t", "index_name": "pk", "user_seeks": 1, "user_scans": 2, "user_lookups": 3, "user_updates": 4}
     ]
+
+
+def test_rollup_keeps_captures_apart(spark):
+    # counters are cumulative: two captures of a plan are not summed
+    columns = fv.RELATIONS["query_stats"]
+    row = {"execution_count": 10, "total_worker_time": 100}
+    names = [f.name for f in columns.fields]
+    base = [tuple(row.get(n, bytearray(b"\x01") if n.endswith(("hash", "handle")) else 1) for n in names)]
+    stats = spark.createDataFrame(base, columns)
+    both = stats.withColumn("captured_at", F.lit(1)).union(stats.withColumn("captured_at", F.lit(2)))
+    got = fv.rollup_query_stats(both).orderBy("captured_at").collect()
+    assert [(r["captured_at"], r["execution_count"]) for r in got] == [(1, 10), (2, 10)]
