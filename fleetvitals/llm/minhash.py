@@ -19,7 +19,6 @@ HALF = 3
 PERCENT = 80
 # Members of a group compared with each other in one step of a task.
 BLOCK = 1_000
-TASKS = 1_024
 
 _SIGNATURE = "_id bigint, n_shingles bigint, f1 bigint, f2 bigint, left array<bigint>, right array<bigint>"
 
@@ -98,31 +97,62 @@ def _linked(a: dict, b: dict, collection: int, percent: int, one: bool) -> tuple
     return out
 
 
+def _places(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """The block that each row belongs to: left half key, its number, and two piece numbers."""
+    return np.column_stack([rows[c].to_numpy() for c in ("l", "i", "low", "high")])
+
+
+def _starts(place: np.ndarray) -> np.ndarray:
+    """Where another block begins, besides the first row."""
+    return np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+
+
+def _block_links(rows: pa.Table, collection: int, percent: int) -> pa.RecordBatch:
+    """Links inside the blocks of some rows, sorted by block; each block is whole."""
+    rows = rows.combine_chunks()
+    place = _places(rows)
+    starts = np.append(0, _starts(place))
+    lists = {c: rows[c].combine_chunks() for c in ("left", "right", "shingles")}
+    half = {c: lists[c].flatten().to_numpy().reshape(-1, collection) for c in ("left", "right")}
+    bounds, flat = lists["shingles"].offsets.to_numpy(), lists["shingles"].values.to_numpy().view(np.uint64)
+    ids, sizes, component, piece = (rows[c].to_numpy() for c in ("m", "n", "c", "piece"))
+    out = [], []
+
+    def members(at: np.ndarray) -> dict:
+        sets = [flat[bounds[k] : bounds[k + 1]] for k in at]
+        return {"i": place[at[0], 1], "id": ids[at], "n": sizes[at], "c": component[at], "sets": sets} | {c: half[c][at] for c in half}
+
+    for start, end in zip(starts, np.append(starts[1:], len(place)), strict=True):
+        at = np.arange(start, end)
+        low, high = (at[piece[at] == place[start, k]] for k in (2, 3))
+        if len(low) and len(high):
+            made = _linked(members(low), members(high), collection, percent, place[start, 2] == place[start, 3])
+            for column, values in zip(out, made, strict=True):
+                column.extend(values)
+    return pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in out], ["a", "b"])
+
+
 def _compared(collection: int, percent: int):
-    """Links inside blocks of members; rows of many blocks come together, each with its group and two piece numbers."""
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks().sort_by([(c, "ascending") for c in ("l", "i", "low", "high", "piece", "m")])
-        place = np.column_stack([rows[c].to_numpy() for c in ("l", "i", "low", "high")])
-        starts = np.flatnonzero(np.append(True, (place[1:] != place[:-1]).any(axis=1)))
-        lists = {c: rows[c].combine_chunks() for c in ("left", "right", "shingles")}
-        half = {c: lists[c].flatten().to_numpy().reshape(-1, collection) for c in ("left", "right")}
-        bounds, flat = lists["shingles"].offsets.to_numpy(), lists["shingles"].values.to_numpy().view(np.uint64)
-        ids, sizes, component, piece = (rows[c].to_numpy() for c in ("m", "n", "c", "piece"))
-        out = [], []
-
-        def members(at: np.ndarray) -> dict:
-            sets = [flat[bounds[k] : bounds[k + 1]] for k in at]
-            return {"i": place[at[0], 1], "id": ids[at], "n": sizes[at], "c": component[at], "sets": sets} | {c: half[c][at] for c in half}
-
-        for start, end in zip(starts, np.append(starts[1:], len(place)), strict=True):
-            at = np.arange(start, end)
-            low, high = (at[piece[at] == place[start, k]] for k in (2, 3))
-            if len(low) and len(high):
-                made = _linked(members(low), members(high), collection, percent, place[start, 2] == place[start, 3])
-                for column, values in zip(out, made, strict=True):
-                    column.extend(values)
-        return pa.table([pa.array(column, pa.int64()) for column in out], ["a", "b"])
+    """Links inside blocks, from rows sorted by block: what is held are an Arrow batch and the rows of an unfinished block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        open_ = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = _places(batch)
+            if held and (place[0] != open_).any():
+                yield _block_links(pa.Table.from_batches(held), collection, percent)
+                held = []
+            starts = _starts(place)
+            if len(starts):
+                yield _block_links(pa.Table.from_batches([*held, batch.slice(0, starts[-1])]), collection, percent)
+                held, batch = [], batch.slice(starts[-1])
+            held.append(batch)
+            open_ = place[-1]
+        if held:
+            yield _block_links(pa.Table.from_batches(held), collection, percent)
 
     return run
 
@@ -211,9 +241,10 @@ def near_groups(
     placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     placed = placed.withColumn("low", F.least("piece", "_other")).withColumn("high", F.greatest("piece", "_other"))
     sets = _made_sets(texts, grouped.select(F.col("m").alias("_id")).distinct(), width).withColumnRenamed("id", "m")
-    # tasks take many small blocks at once; a block is never split
-    tasks = F.pmod(F.xxhash64("i", "l", "low", "high"), F.lit(TASKS)).alias("task")
-    compared = placed.drop("_other", "pieces").join(sets, "m").where(F.size("shingles") == F.col("n")).groupBy(tasks).applyInArrow(
+    block = ["l", "i", "low", "high"]
+    shared = placed.drop("_other", "pieces").join(sets, "m").where(F.size("shingles") == F.col("n"))
+    # a partition holds many small blocks, and a task one of them at a time
+    compared = shared.repartition(*block).sortWithinPartitions(*block, "piece", "m").mapInArrow(
         _compared(collection, percent), "a bigint, b bigint"
     )
     links = durable(links.union(compared.distinct()))
