@@ -19,9 +19,13 @@ ADAPTIVE = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
 
+# Shuffle files go as soon as their query has run, so a chain of checkpoints needs disk for one step at a time.
+# Lost files are made again while the query runs, as always.
+CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Switch on adaptive execution with skew splitting, and group limits; other settings stay as they are."""
-    for key, value in {**ADAPTIVE, **GROUP_LIMIT}.items():
+    """Switch on adaptive execution with skew splitting, group limits and clean-up of shuffles; other settings stay as they are."""
+    for key, value in {**ADAPTIVE, **GROUP_LIMIT, **CLEANUP}.items():
         spark.conf.set(key, value)
     return spark
