@@ -162,8 +162,15 @@ def _made_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return texts.join(wanted, "_id", "left_semi").select("_id", "_text").mapInArrow(_sets(width), "id bigint, shingles array<bigint>")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; only sets of candidates are made."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough.
+
+    Only sets of candidates are made, and only where the sizes allow the similarity.  ``sizes`` has the least and
+    greatest set size of an id, ``_least`` and ``_most``.
+    """
+    a, b = (sizes.select(F.col("_id").alias(end), F.col("_least").alias(f"_l{end}"), F.col("_most").alias(f"_m{end}")) for end in "ab")
+    pairs = pairs.join(a, "a").join(b, "b").where(f"100 * _ma >= {int(percent)} * _lb AND 100 * _mb >= {int(percent)} * _la").select("a", "b")
+    pairs = durable(pairs)
     sets = _made_sets(texts, pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), width)
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"
@@ -209,6 +216,7 @@ def near_groups(
     first = usable.groupBy("f1", "f2", "n_shingles").agg(F.min("_id").alias("rep"))
     # an id that stands for two texts joins them
     reps = usable.join(first.withColumnRenamed("rep", "_id"), ["_id", "f1", "f2", "n_shingles"], "left_semi").dropDuplicates(["_id", "f1", "f2"])
+    sizes = reps.groupBy("_id").agg(F.min("n_shingles").alias("_least"), F.max("n_shingles").alias("_most"))
     left = reps.select("_id", "right", F.posexplode("left").alias("i", "l"))
     # the number of the left half key stays readable in the low bits
     hashed = F.xxhash64("i", "j", "l", "r").bitwiseAND(F.lit(-256)).bitwiseOR(F.col("i").cast("bigint"))
@@ -225,11 +233,11 @@ def near_groups(
 
     nearest = buckets.where("hub < m").groupBy(F.col("m").alias("b")).agg(F.min("hub").alias("a"))
     tried = nearest.select("a", "b")
-    links = durable(_confirmed(tried, texts, width, percent))
+    links = durable(_confirmed(tried, texts, sizes, width, percent))
     labels = components(links)
     stars = buckets.where("hub < m").select(F.col("hub").alias("a"), F.col("m").alias("b")).distinct()
     second = durable(unlinked(stars.join(tried, ["a", "b"], "left_anti"), labels))
-    links = durable(links.union(_confirmed(second, texts, width, percent)))
+    links = durable(links.union(_confirmed(second, texts, sizes, width, percent)))
     labels = components(links)
     tagged = buckets.join(labels, buckets["m"] == labels["id"], "left").select("key", "m", F.coalesce("component", "m").alias("c"))
     mixed = tagged.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high").select("key")
