@@ -151,6 +151,28 @@ def test_near(spark, real, odd):
     assert minhash.drop_near_copies(odd, width=2).columns == odd.columns
 
 
+def test_blocks_across_batches():
+    rng = np.random.default_rng(8)
+    base = rng.choice(1 << 40, 100, replace=False)
+    rows = []
+    for group in range(6):
+        for m in range(3 + 9 * group):
+            own = np.sort(np.append(base[: 100 - rng.integers(30)], rng.integers(1 << 40, 1 << 41, 3)))
+            rows.append({"l": group, "i": 0, "low": 0, "high": 0, "piece": 0, "m": 100 * group + m, "n": len(own), "c": 100 * group + m, "left": [group], "right": [1], "shingles": own.tolist()})
+    names = {"piece": pa.int32(), "i": pa.int32(), "low": pa.int32(), "high": pa.int32(), "left": pa.list_(pa.int64()), "right": pa.list_(pa.int64()), "shingles": pa.list_(pa.int64())}
+    table = pa.Table.from_pylist(rows, pa.schema([(c, names.get(c, pa.int64())) for c in rows[0]]))
+    wanted = set()
+    for a in rows:
+        for b in rows:
+            both = len(set(a["shingles"]) & set(b["shingles"]))
+            if a["l"] == b["l"] and a["m"] < b["m"] and 100 * both >= 80 * (a["n"] + b["n"] - both):
+                wanted.add((a["m"], b["m"]))
+    assert wanted
+    for size in (1, 2, 7, 20, 1000):
+        made = minhash._compared(1, 80)(iter(table.to_batches(max_chunksize=size)))
+        assert {(x, y) for batch in made for x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)} == wanted
+
+
 def brute_repeats(rows):
     first, out = {}, {}
     for i, t in sorted(rows):
