@@ -23,9 +23,12 @@ ADAPTIVE = {
 # Lost files are made again while the query runs, as always.
 CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
+# Rows that a Python worker gets at a time.  Texts are a few KB long, so a batch stays at some MB in both processes.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Switch on adaptive execution with skew splitting, group limits and clean-up of shuffles; other settings stay as they are."""
-    for key, value in {**ADAPTIVE, **GROUP_LIMIT, **CLEANUP}.items():
+    """Switch on adaptive execution with skew splitting, group limits, clean-up of shuffles and small batches; other settings stay as they are."""
+    for key, value in {**ADAPTIVE, **GROUP_LIMIT, **CLEANUP, **ARROW}.items():
         spark.conf.set(key, value)
     return spark
