@@ -221,14 +221,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold; columns as given, row by row, without a join."""
     names = docs.columns
-    packed = docs.select(F.col("text").alias("_text"), F.struct(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names))).alias("_row"))
-    schema = packed.select("_row").schema
+    # the text goes to Python once, inside its row
+    packed = docs.select(F.struct(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names))).alias("_row"))
+    schema, at = packed.schema, names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, some in text.slices(text.text_bytes(batch.column(0))):
+            for first, end, some in text.slices(text.text_bytes(batch.column(0).field(at))):
                 clean = pa.array(model.score(some) < threshold)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, end - first).filter(clean)], ["_row"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first).filter(clean)], ["_row"])
 
     return packed.mapInArrow(run, schema).select(*(F.col(f"_row.c{i}").alias(n) for i, n in enumerate(names)))
 
