@@ -13,10 +13,15 @@ from fleetvitals.plans import durable
 
 TREES = 64
 BITS = 60
-# Points in one block, about, and places in its trees that a query climbs to at least: a fixed share of the block.
+# Points in a full block, about, and places in its trees that a query climbs to at least; a smaller block has its share.
 BLOCK = 16_384
-CANDIDATES = 5_000
+CANDIDATES = 12_288
+# Lengths in one band differ by this factor at most; bands are put together up to this part of a block, and a block
+# so small is looked at as a whole.
+RATIO = 1.1
+SMALL = 16
 TOP = 20
+SPARE = 32
 SEED = 11
 
 
@@ -35,10 +40,10 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _hashed(width: int, norm: float, queries: bool):
-    """Hash strings, one number of BITS bits for each tree, of batches of (id, vector).
+def _hashed(width: int, queries: bool):
+    """Hash strings, one number of BITS bits for each tree, of batches of (id, vector), for points (id, vector, block, norm).
 
-    A point gets the component that makes all lengths ``norm``, a query 0 there, so angles order as inner products.
+    A point gets the component that makes its length ``norm``, a query 0 there, so angles order as inner products.
     """
     planes = np.random.default_rng(SEED).standard_normal((width + 1, TREES * BITS))
     weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
@@ -48,11 +53,12 @@ def _hashed(width: int, norm: float, queries: bool):
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 x = _matrix(part.column(1), width)
-                rest = np.zeros(len(x)) if queries else np.sqrt(np.maximum(norm**2 - (x**2).sum(1), 0))
+                rest = np.zeros(len(x)) if queries else np.sqrt(np.maximum(part.column(3).to_numpy() ** 2 - (x**2).sum(1), 0))
                 bits = (np.column_stack([x, rest]) @ planes > 0).reshape(len(x), TREES, BITS)
                 keys = (bits @ weights).ravel()
                 lists = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, TREES, dtype=np.int32), keys)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["id", "v", "keys"])
+                kept, names = part.columns[:2] if queries else part.columns[:3], ["id", "v"] if queries else ["id", "v", "block"]
+                yield pa.RecordBatch.from_arrays([*kept, lists], [*names, "keys"])
 
     return run
 
@@ -98,7 +104,27 @@ def _keys(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, TREES)
 
 
-def _searched(width: int, top: int, enough: int):
+def _groups(bands: list[tuple[int, int, float]], block: int) -> list[tuple[int, int, int, float]]:
+    """(band, first block, blocks, norm) from (band, points, greatest length) in order of band.
+
+    Neighbouring bands are put together while they have block / ``SMALL`` points at most, so there are no more groups
+    than a fixed number for each block of points.
+    """
+    groups: list[tuple[list[int], int, float]] = []
+    for band, points, norm in bands:
+        if groups and groups[-1][1] + points <= block // SMALL:
+            groups[-1] = ([*groups[-1][0], band], groups[-1][1] + points, max(groups[-1][2], norm))
+        else:
+            groups.append(([band], points, norm))
+    out, first = [], 0
+    for members, points, norm in groups:
+        blocks = -(-points // block)
+        out += [(band, first, blocks, norm) for band in members]
+        first += blocks
+    return out
+
+
+def _searched(width: int, top: int, candidates: int, block: int):
     """The best candidates of a block for each query."""
 
     def run(key: tuple, points: pa.Table, queries: pa.Table) -> pa.Table:
@@ -109,8 +135,16 @@ def _searched(width: int, top: int, enough: int):
         ids, asked = points["id"].to_numpy(), queries["id"].to_numpy()
         x, y = (_matrix(side["v"].combine_chunks(), width) for side in (points, queries))
         forest = Forest(_keys(points["keys"].combine_chunks()))
+        n = len(ids)
+        enough = TREES * n if n <= block // SMALL else -(-candidates * n // block)
         out = []
         for i, found in enumerate(forest.candidates(_keys(queries["keys"].combine_chunks()), enough)):
+            # products of many queries at once cost less than picking rows; the best, with some to spare, are then
+            # scored alike in every batch
+            if i % 64 == 0:
+                rough = y[i : i + 64] @ x.T
+            if len(found) > top + SPARE:
+                found = np.sort(found[np.argpartition(-rough[i % 64, found], top + SPARE)[: top + SPARE]])
             score = (x[found] * y[i]).sum(axis=1)
             # found is in order of id, so equal scores stay so
             best = np.argsort(-score, kind="stable")[:top]
@@ -120,15 +154,20 @@ def _searched(width: int, top: int, enough: int):
     return run
 
 
-def nearest(table: DataFrame, is_query: Column, top: int = TOP, candidates: int = CANDIDATES, block: int = BLOCK) -> DataFrame:
+def nearest(
+    table: DataFrame, is_query: Column, top: int = TOP, candidates: int = CANDIDATES, block: int = BLOCK
+) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: for each row of ``table`` (``vec_id``, ``embedding``) where
     ``is_query`` holds, the ``top`` other rows of largest inner product among the candidates found.
 
-    Points are dealt by hash into blocks of about ``block``, and a block has a forest of its own.  *Index*: every tree
-    gives each point a long string of bits, the sides of random planes it lies on, and holds them sorted.  *Descent*: a
-    query's longest matching prefix is found in the trees.  *Ascent*: the prefix is shortened in all trees at once until
-    ``candidates`` places are passed; those points are scored in double precision.  The share of a block that is
-    looked at, and so the recall, does not change with the size of the table; the work is queries x points x that share.
+    Points are put into bands of about the same length, and a band's are dealt by hash into blocks of about ``block``; a
+    block has a forest of its own.  *Index*: a point gets one more component that makes its length the greatest of its
+    band, which is small as lengths in a band are; every tree gives it a long string of bits, the sides of random planes
+    it lies on, and holds them sorted.  *Descent*: a query's longest matching prefix is found in the trees.  *Ascent*: the
+    prefix is shortened in all trees at once until ``candidates`` places are passed, or in a block of m points
+    ``candidates`` x m / ``block``; those points are scored in double precision.  The share of a block that is looked at
+    depends neither on the size of the table nor on how full the block is; blocks of ``block`` / ``SMALL`` points or
+    fewer are looked at as a whole.  The work is queries x points x that share.
 
     Equal vectors are one point in the forest, with its ``top`` + 1 smallest ids: no more of them can be among the
     nearest; equal queries are searched once.
@@ -141,22 +180,30 @@ def nearest(table: DataFrame, is_query: Column, top: int = TOP, candidates: int
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
     # -0.0 and 0.0 are one number; the copies of a vector are counted by its bytes
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float"))).dropDuplicates(["id", "v"])
-    squares = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x)
-    found = rows.agg(F.max(F.size("v")).alias("width"), F.sqrt(F.max(squares)).alias("norm"), F.approx_count_distinct("v").alias("n")).first()
-    width, norm, blocks = found["width"] or 1, found["norm"] or 1.0, -(-max(found["n"], 1) // block)
 
     copies = Window.partitionBy("v").orderBy("id")
     mates = rows.select("id", "v", F.row_number().over(copies).alias("nth")).where(F.col("nth") <= top + 1)
     mates = durable(mates.withColumn("p", F.first("id").over(copies)))
-    indexed = durable(mates.where("nth = 1").select("id", "v").mapInArrow(_hashed(width, norm, False), "id bigint, v array<float>, keys array<bigint>"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x))
+    # lengths of about 1 lie in the middle of a band
+    band = F.floor(F.log(length) / float(np.log(RATIO)) + 0.5).cast("int")
+    distinct = mates.where("nth = 1").select("id", "v", length.alias("length"), band.alias("band"))
+    counted = distinct.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("norm"), F.max(F.size("v")).alias("width")).orderBy("band").collect()
+    width = max((r["width"] for r in counted), default=1)
+    groups = _groups([(r["band"], r["n"], r["norm"]) for r in counted], block)
+    blocks = max((first + many for _, first, many, _ in groups), default=1)
+    # a float has fewer than 2,000 bands
+    groups = F.broadcast(table.sparkSession.createDataFrame(groups, "band int, first int, blocks int, norm double"))
+
+    points = distinct.join(groups, "band").withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    indexed = points.select("id", "v", "block", "norm").mapInArrow(_hashed(width, False), "id bigint, v array<float>, block int, keys array<bigint>")
+    indexed = durable(indexed)
     asking = rows.where("asks").groupBy("v").agg(F.min("id").alias("id"))
-    asked = durable(asking.select("id", "v").mapInArrow(_hashed(width, norm, True), "id bigint, v array<float>, keys array<bigint>"))
+    asked = durable(asking.select("id", "v").mapInArrow(_hashed(width, True), "id bigint, v array<float>, keys array<bigint>"))
 
-    points = indexed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     queries = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    scored = (
-        points.groupBy("block").cogroup(queries.groupBy("block")).applyInArrow(_searched(width, top + 1, candidates), "q bigint, p bigint, score double")
-    )
+    met = indexed.groupBy("block").cogroup(queries.groupBy("block"))
+    scored = met.applyInArrow(_searched(width, top + 1, candidates, block), "q bigint, p bigint, score double")
     by_score = Window.partitionBy("q").orderBy(F.col("score").desc(), "p")
     best = scored.withColumn("nth", F.row_number().over(by_score)).where(F.col("nth") <= top + 1).drop("nth")
     named = rows.where("asks").select(F.col("id").alias("query_id"), "v").join(asked.select(F.col("id").alias("q"), "v"), "v").select("query_id", "q")

@@ -277,6 +277,40 @@ def test_nearest(spark):
     assert [r["rank"] for r in forest.nearest_query(few).orderBy("rank").collect()] == [1, 2, 3, 4]
 
 
+def recall(frame, x, **kwargs):
+    """Share of the brute-force nearest that are found by ``nearest`` for every 20th row of unlike vectors."""
+    rows = forest.nearest(frame, frame.vec_id % 20 == 0, **kwargs).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    assert len(got) == -(-len(x) // 20) and all(len(f) == 20 for f in got.values()) and len(rows) == 20 * len(got)
+    hits, d = 0, x.astype(np.float64)
+    for q, found in got.items():
+        scores = d @ d[q]
+        scores[q] = -np.inf
+        hits += len(set(np.argsort(-scores)[:20].tolist()) & set(found))
+        assert all(s == pytest.approx(scores[v]) for v, s in found.items())
+    return hits / (20 * len(got))
+
+
+@pytest.mark.parametrize("sigma", [0, 0.15, 0.5])
+def test_nearest_full_block(spark, sigma):
+    # production parameters on one full block of clusters, lengths alike or log-normal
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((40, 64))[rng.integers(40, size=forest.BLOCK)] + 2.5 * rng.standard_normal((forest.BLOCK, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None] * np.exp(sigma * rng.standard_normal((len(x), 1)))).astype(np.float32)
+    table = pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    assert recall(spark.createDataFrame(table), x) >= 0.9
+
+
+def test_length_bands():
+    # neighbours are put together while they are small; norms are the greatest length of a group
+    assert forest._groups([], 160) == []
+    assert forest._groups([(-3, 4, 0.5), (-2, 6, 0.6), (0, 1, 1.0), (1, 200, 1.1), (2, 3, 1.2)], 160) == [
+        (-3, 0, 1, 0.6), (-2, 0, 1, 0.6), (0, 1, 1, 1.0), (1, 2, 2, 1.1), (2, 4, 1, 1.2)
+    ]
+
+
 def test_classifiers(spark):
     folder = "/root/testdata/sf0.01"
     labels = {r[0]: r[1:] for r in database(folder).sql("SELECT doc_id, quality, toxic FROM labels").fetchall()}
