@@ -16,6 +16,8 @@ BITS = 60
 # Points in a full block, about, and places in its trees that a query climbs to at least; a smaller block has its share.
 BLOCK = 16_384
 CANDIDATES = 12_288
+# Queries that meet a block in one task, about.
+PIECE = 16_384
 # Lengths in one band differ by this factor at most; bands are put together up to this part of a block, and a block
 # so small is looked at as a whole.
 RATIO = 1.1
@@ -125,7 +127,7 @@ def _groups(bands: list[tuple[int, int, float]], block: int) -> list[tuple[int,
 
 
 def _searched(width: int, top: int, candidates: int, block: int):
-    """The best candidates of a block for each query."""
+    """The best candidates of a block for each query of a piece."""
 
     def run(key: tuple, points: pa.Table, queries: pa.Table) -> pa.Table:
         schema = pa.schema([("q", pa.int64()), ("p", pa.int64()), ("score", pa.float64())])
@@ -155,7 +157,7 @@ def _searched(width: int, top: int, candidates: int, block: int):
 
 
 def nearest(
-    table: DataFrame, is_query: Column, top: int = TOP, candidates: int = CANDIDATES, block: int = BLOCK
+    table: DataFrame, is_query: Column, top: int = TOP, candidates: int = CANDIDATES, block: int = BLOCK, piece: int = PIECE
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: for each row of ``table`` (``vec_id``, ``embedding``) where
     ``is_query`` holds, the ``top`` other rows of largest inner product among the candidates found.
@@ -169,6 +171,9 @@ def nearest(
     depends neither on the size of the table nor on how full the block is; blocks of ``block`` / ``SMALL`` points or
     fewer are looked at as a whole.  The work is queries x points x that share.
 
+    Queries are dealt by hash into pieces of about ``piece``.  A task has one block and one piece, so that neither side
+    grows with the table; each piece has a copy of the points.
+
     Equal vectors are one point in the forest, with its ``top`` + 1 smallest ids: no more of them can be among the
     nearest; equal queries are searched once.
 
@@ -200,9 +205,12 @@ def nearest(
     indexed = durable(indexed)
     asking = rows.where("asks").groupBy("v").agg(F.min("id").alias("id"))
     asked = durable(asking.select("id", "v").mapInArrow(_hashed(width, True), "id bigint, v array<float>, keys array<bigint>"))
+    pieces = -(-max(asked.count(), 1) // piece)
 
-    queries = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = indexed.groupBy("block").cogroup(queries.groupBy("block"))
+    copied = indexed.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    queries = asked.withColumn("piece", F.pmod(F.xxhash64("id"), F.lit(pieces)).cast("int"))
+    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = copied.groupBy("block", "piece").cogroup(queries.groupBy("block", "piece"))
     scored = met.applyInArrow(_searched(width, top + 1, candidates, block), "q bigint, p bigint, score double")
     by_score = Window.partitionBy("q").orderBy(F.col("score").desc(), "p")
     best = scored.withColumn("nth", F.row_number().over(by_score)).where(F.col("nth") <= top + 1).drop("nth")

@@ -303,6 +303,29 @@ def test_nearest_full_block(spark, sigma):
     assert recall(spark.createDataFrame(table), x) >= 0.9
 
 
+def test_nearest_pieces(spark, monkeypatch):
+    # both sides of every task are bounded, and pieces find what one piece finds
+    rng = np.random.default_rng(8)
+    x = (rng.standard_normal((2000, 16)) * np.exp(0.5 * rng.standard_normal((2000, 1)))).astype(np.float32)
+    frame = spark.createDataFrame([(i, [float(v) for v in row], 0, "x") for i, row in enumerate(x)], VECTORS)
+    searched = forest._searched
+
+    def bounded(*args):
+        run = searched(*args)
+
+        def check(key, points, queries):
+            assert points.num_rows <= 400 and queries.num_rows <= 40
+            return run(key, points, queries)
+
+        return check
+
+    results = [sorted(map(tuple, forest.nearest(frame, frame.vec_id % 20 == 0, block=300, candidates=250).collect()))]
+    monkeypatch.setattr(forest, "_searched", bounded)
+    results.append(sorted(map(tuple, forest.nearest(frame, frame.vec_id % 20 == 0, block=300, candidates=250, piece=20).collect())))
+    assert results[0] == results[1]
+    assert recall(frame, x, block=300, candidates=250, piece=20) >= 0.9
+
+
 def test_length_bands():
     # neighbours are put together while they are small; norms are the greatest length of a group
     assert forest._groups([], 160) == []
