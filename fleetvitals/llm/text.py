@@ -132,6 +132,24 @@ def words(texts: Texts, separators: np.ndarray = _SPACE, prefixes: tuple[int, ..
     return Words(hashes, starts, lengths, np.searchsorted(starts, bounds), heads)
 
 
+def runs(texts: Texts, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size the hashes of so many characters in a row, all of three bytes or more, and the text each is in."""
+    data, bounds = texts.data, texts.bounds
+    if not (data >= 0xE0).any():
+        return
+    begins = np.flatnonzero((data & 0xC0) != 0x80)
+    ends = np.append(begins[1:], len(data))
+    owner = np.searchsorted(bounds, begins, side="right") - 1
+    short = np.concatenate([[0], np.cumsum(data[begins] < 0xE0)])
+    up, down = powers(len(data))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    for size, salt in zip(sizes, numbers(3, len(sizes)), strict=True):
+        i = np.arange(max(len(begins) - size + 1, 0))
+        i = i[(short[i + size] == short[i]) & (owner[i] == owner[i + size - 1])]
+        yield mix64((sums[ends[i + size - 1]] - sums[begins[i]]) * down[begins[i]] + salt), owner[i]
+
+
 def shingles(found: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of ``width`` words in a row, and where each text's begin; shorter texts have one of all their words."""
     counts = np.diff(found.first)

@@ -14,25 +14,33 @@ from fleetvitals.llm import text
 from fleetvitals.llm.labels import SAMPLE_ROWS, fold, labelled_sample, sample_texts
 from fleetvitals.plans import durable
 
-# Word beginnings of these lengths in bytes: whole short words, and stems whatever their endings.
+# Word beginnings of these lengths in bytes: stems whatever their endings.
 PREFIXES = (4, 5, 6, 7, 8, 9)
-# Terms in the lexicon, and terms of toxic texts looked up in clean ones, at most.
-TERMS = 600
-CANDIDATES = 200_000
+# Characters in a row, anywhere in a run of characters of three bytes or more (scripts without spaces).
+RUNS = (1, 2, 3, 4)
+# Terms that are voters of their own, strongest first; the others vote in bands.
 VOTERS = 150
+_WORD, _FIRST, _SECOND = text.numbers(4, 3)
 # Share of a term's texts that must be toxic, and the chance of so many at random: one in twenty for a million terms.
 PURITY = 0.92
 CHANCE = 5e-8
 THRESHOLD = 0.7
 
 
-def _terms(texts: text.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of word beginnings, and the text each is in, as signed numbers."""
+def _terms(texts: text.Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of terms, as signed numbers, and the text each is in, kind by kind: word beginnings, whole words of any
+    length, adjacent words, characters in a row of scripts without spaces."""
     found = text.words(texts, text.NO_LETTER, PREFIXES)
     owner = np.repeat(np.arange(len(texts)), np.diff(found.first))
-    hashes = np.concatenate(found.prefixes).view(np.int64)
-    owner = np.tile(owner, len(PREFIXES))
-    return hashes[hashes != 0], owner[hashes != 0]
+    for heads in found.prefixes:
+        yield heads[heads != 0].view(np.int64), owner[heads != 0]
+    yield text.mix64(found.hashes ^ _WORD).view(np.int64), owner
+    if len(owner) > 1:
+        one = owner[1:] == owner[:-1]
+        pairs = text.mix64(found.hashes[:-1] ^ _FIRST) + text.mix64(found.hashes[1:] ^ _SECOND)
+        yield text.mix64(pairs[one]).view(np.int64), owner[1:][one]
+    for hashes, owner in text.runs(texts, RUNS):
+        yield hashes.view(np.int64), owner
 
 
 def _pairs(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +58,10 @@ def _term_counts(known: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, some in text.slices(text.text_bytes(batch.column(1))):
-                hashes, owner = _terms(some) if known is None else Lexicon(known, known).hits(some)
-                hashes, owner = _pairs(hashes, owner)
+                if known is None:
+                    hashes, owner = _pairs(*(np.concatenate(side) for side in zip(*_terms(some), strict=True)))
+                else:
+                    hashes, owner = Lexicon(known, known).hits(some)
                 terms, counts = np.unique(hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(counts, pa.int64())], ["term", "n"])
 
@@ -69,21 +79,24 @@ class Lexicon:
         """(place of term, text) for each term of the lexicon in each text, once."""
         if not len(self.terms):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        hashes, owner = _terms(texts)
         sieve = np.zeros(1 << 16, dtype=bool)
         sieve[self.terms & 0xFFFF] = True
-        maybe = sieve[hashes & 0xFFFF]
-        hashes, owner = hashes[maybe], owner[maybe]
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        real = self.terms[at] == hashes
-        return _pairs(self.place[at[real]], owner[real])
-
-
-def mine_lexicon(sample: DataFrame, terms: int = TERMS) -> Lexicon:
+        places, owners = [], []
+        for hashes, owner in _terms(texts):
+            maybe = sieve[hashes & 0xFFFF]
+            hashes, owner = hashes[maybe], owner[maybe]
+            at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+            real = self.terms[at] == hashes
+            places.append(self.place[at[real]])
+            owners.append(owner[real])
+        return _pairs(np.concatenate(places), np.concatenate(owners))
+
+
+def mine_lexicon(sample: DataFrame) -> Lexicon:
     """Terms found in toxic texts far more than chance allows, strongest first.
 
     With a share s of toxic texts, a term in n texts of which k are toxic is kept if exp(-n KL(k/n, s)), which bounds
-    the chance of so many, is below ``CHANCE``, and if ``PURITY`` of its texts are toxic.
+    the chance of so many, is below ``CHANCE``, and if ``PURITY`` of its texts are toxic.  Nothing else bounds the lexicon.
     """
     share = sample.agg(F.coalesce(F.avg("_label"), F.lit(0.0)).alias("s")).first()["s"]
     if not 0 < share < 1:
@@ -91,15 +104,14 @@ def mine_lexicon(sample: DataFrame, terms: int = TERMS) -> Lexicon:
     schema = "term bigint, n bigint"
     toxic = sample.where("_label = 1").mapInArrow(_term_counts(), schema).groupBy("term").agg(F.sum("n").alias("k"))
     least = float(np.log(CHANCE) / np.log(share))
-    candidates = durable(toxic.where(F.col("k") >= least).orderBy(F.col("k").desc(), "term").limit(CANDIDATES))
-    known = np.sort(np.array([row["term"] for row in candidates.select("term").collect()], dtype=np.int64))
+    candidates = durable(toxic.where(F.col("k") >= least))
+    known = np.sort(candidates.select("term").toArrow()["term"].to_numpy())
     clean = sample.where("_label = 0").mapInArrow(_term_counts(known), schema).groupBy("term").agg(F.sum("n").alias("c"))
     counted = candidates.join(clean, "term", "left").withColumn("c", F.coalesce("c", F.lit(0)).cast("double"))
     k, c, n = F.col("k").cast("double"), F.col("c"), F.col("k") + F.col("c")
     evidence = k * F.log(k / (n * share)) + F.when(c > 0, c * F.log(c / (n * (1 - share)))).otherwise(0.0)
     strong = counted.where((k >= PURITY * n) & (evidence > -float(np.log(CHANCE))))
-    rows = strong.orderBy(evidence.desc(), "term").limit(terms).select("term").collect()
-    hashes = np.array([row["term"] for row in rows], dtype=np.int64)
+    hashes = strong.orderBy(evidence.desc(), "term").select("term").toArrow()["term"].to_numpy()
     order = np.argsort(hashes)
     return Lexicon(hashes[order], order)
 
@@ -133,23 +145,42 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def _voters(hits: np.ndarray) -> np.ndarray:
-    """Votes from a texts x terms matrix: single terms, bands of the lexicon, numbers of hits, and none at all."""
-    many = hits.sum(1)
-    bands = [hits[:, a::8].any(1) for a in range(8)]
+def _voters(row: np.ndarray, place: np.ndarray, texts: int, terms: int) -> np.ndarray:
+    """Votes from the terms that texts have: single terms, bands of the lexicon, numbers of hits, and none at all."""
+    many = np.bincount(row, minlength=texts)
+    single = np.zeros((texts, min(VOTERS, terms)), dtype=bool)
+    single[row[place < VOTERS], place[place < VOTERS]] = True
+    bands = np.zeros((texts, 8), dtype=bool)
+    bands[row, place % 8] = True
     patterns = [many >= 1, many >= 2, many >= 4, many == 0]
-    return np.column_stack([hits[:, :VOTERS], *bands, *patterns]).astype(float)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 300) -> tuple[float, np.ndarray]:
-    """Ridge logistic regression on soft labels, by accelerated gradient steps."""
-    x = np.column_stack([np.ones(len(x)), x])
-    step = 1 / (0.25 * np.linalg.norm(x, 2) ** 2 + l2)
-    penalty = np.full(x.shape[1], l2)
+    return np.column_stack([single, bands, *patterns]).astype(float)
+
+
+def _logistic(row: np.ndarray, place: np.ndarray, terms: int, y: np.ndarray, l2: float = 1.0, rounds: int = 300) -> tuple[float, np.ndarray]:
+    """Ridge logistic regression on soft labels, by accelerated gradient steps; the last weight is that of any term."""
+    # the places of ones in the matrix of a constant, the terms, and whether there is any
+    some = np.unique(row)
+    at = np.concatenate([np.arange(len(y)), row, some])
+    column = np.concatenate([np.zeros(len(y), np.int64), place + 1, np.full(len(some), terms + 1)])
+
+    def times(w: np.ndarray) -> np.ndarray:
+        return np.bincount(at, w[column], len(y))
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.bincount(column, r[at], terms + 2)
+
+    # the greatest singular value squared, by power iteration from a positive vector
+    v = np.ones(terms + 2)
+    for _ in range(50):
+        v = back(times(v))
+        largest = np.linalg.norm(v)
+        v /= largest
+    step = 1 / (0.25 * 1.05 * largest + l2)
+    penalty = np.full(terms + 2, l2)
     penalty[0] = 0
-    w = ahead = np.zeros(x.shape[1])
+    w = ahead = np.zeros(terms + 2)
     for i in range(rounds):
-        gradient = x.T @ (1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30))) - y) + penalty * ahead
+        gradient = back(1 / (1 + np.exp(-np.clip(times(ahead), -30, 30))) - y) + penalty * ahead
         new = ahead - step * gradient
         ahead, w = new + i / (i + 3) * (new - w), new
     return float(w[0]), w[1:]
@@ -174,7 +205,7 @@ def train_toxicity(
     """A model fitted on ``rows`` labelled documents at most.
 
     Labels serve to find the lexicon, as the label model's first guess and as one voter; the classifier learns the posteriors.
-    The driver gets the lexicon (``TERMS`` hashes) and for each sampled text the terms it has.
+    The driver gets the hashes of the lexicon and for each sampled text the terms it has.
     """
     sample = sample_texts(docs, labelled_sample(labels, target, folds, held_out, rows))
     lexicon = mine_lexicon(sample)
@@ -190,16 +221,15 @@ def train_toxicity(
 
     got = sample.mapInArrow(marked, "label int, places array<bigint>").orderBy("label", "places").toArrow()
     y = np.array(got["label"].to_pylist(), dtype=float)
-    hits = np.zeros((len(y), len(lexicon.terms)), dtype=bool)
-    for row, places in zip(hits, got["places"].to_pylist(), strict=True):
-        row[places] = True
+    places = got["places"].combine_chunks()
+    row, place = np.repeat(np.arange(len(y)), places.value_lengths().to_numpy()), places.flatten().to_numpy()
     if not len(lexicon.terms):
         rate = (y.sum() + 1) / (len(y) + 20)
         return ToxicityModel(lexicon, float(np.log(rate / (1 - rate))), np.zeros(1))
     # the label that a person gave is one more voter, whose accuracy is estimated like the others'
-    votes = np.column_stack([_voters(hits), y])
+    votes = np.column_stack([_voters(row, place, len(y), len(lexicon.terms)), y])
     posterior = LabelModel(votes, y).posterior(votes)
-    bias, weights = _logistic(np.column_stack([hits, hits.any(1)]).astype(float), posterior)
+    bias, weights = _logistic(row, place, len(lexicon.terms), posterior)
     return ToxicityModel(lexicon, bias, weights)
 
 

@@ -363,6 +363,41 @@ def test_toxic_words_are_learned(spark):
     assert clean.count() == 601 - 75 and clean.columns == docs(spark, []).columns
 
 
+def test_toxic_terms_of_every_kind(spark):
+    # a word of three bytes, a word that begins a clean one, an inner part of a run, a phrase of common words
+    rng = np.random.default_rng(6)
+    signs = [chr(0x4E00 + i) for i in range(200)]
+
+    def made(kind):
+        words = [f"plain{rng.integers(300)}" for _ in range(40)]
+        run = "".join(rng.choice(signs, 12))
+        words[5], words[10], words[20] = "grumble", "calm", "river"
+        if kind == 0:
+            words[30] = "zog"
+        if kind == 1:
+            words[30] = "grum"
+        if kind == 2:
+            run = run[:5] + "\u6bd2\u820c" + run[5:]
+        if kind == 3:
+            words[30:32] = "calm", "river"
+        return " ".join([*words, run])
+
+    kinds = [i % 24 for i in range(1200)]
+    rows = [(i, made(kind), "s") for i, kind in enumerate(kinds)]
+    labels = spark.createDataFrame([(i, 1, int(kind < 4)) for i, kind in enumerate(kinds)], "doc_id bigint, quality int, toxic int")
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_query(docs(spark, rows), labels).collect()}
+    for kind in range(24):
+        assert {found[i] for i in found if kinds[i] == kind} == {int(kind < 4)}, kind
+
+
+def test_runs_match_python():
+    rows = ["", "a\u4e00\u4e01\u4e02b\u4e03", None, "\u4e00\u4e01", "\u00e4\u00f6"]
+    for size, (hashes, owner) in zip((1, 2, 4), text.runs(text.text_bytes(pa.array(rows)), (1, 2, 4)), strict=True):
+        assert owner.tolist() == {1: [1, 1, 1, 1, 3, 3], 2: [1, 1, 3], 4: []}[size]
+        if size == 2:
+            assert hashes[0] == hashes[2] != hashes[1]
+
+
 def test_pipeline(spark):
     ids = {row[0] for row in database(FOLDER).sql("SELECT doc_id FROM documents").fetchall()}
     frame = spark.read.parquet(f"{FOLDER}/documents.parquet")
