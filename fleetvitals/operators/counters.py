@@ -32,13 +32,13 @@ RESETS = ("reference", "null")
 def latest_capture(side: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of each key's latest capture.  Counters are cumulative, so earlier captures of a side say nothing more.
 
-    Without ``captured_at`` a side is one capture.
+    Without ``captured_at`` a side is one capture, as are the rows of a key that has no time at all.
     """
     if "captured_at" not in side.columns:
         return side
     last = side.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("captured_at").alias("_at"))
     match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return side.join(last, [*match, F.col("captured_at") == F.col("_at")]).select(*side.columns)
+    return side.join(last, [*match, F.col("captured_at").eqNullSafe(F.col("_at"))]).select(*side.columns)
 
 
 def wait_delta(before: DataFrame, after: DataFrame, reset: str = "reference") -> DataFrame:

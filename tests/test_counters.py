@@ -170,6 +170,14 @@ def test_delta_stream_takes_late_captures_in_order(spark, tmp_path):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == _expected(history, lambda d: d)
 
 
+def test_a_key_without_times_keeps_its_rows(spark):
+    kind = "captured_at int, wait_type string, wait_time_ms bigint, signal_wait_time_ms bigint, waiting_tasks_count bigint"
+    before = spark.createDataFrame([(None, "A", 10, 1, 2), (None, "B", 99, 9, 9), (1, "B", 5, 1, 1)], kind)
+    after = spark.createDataFrame([(None, "A", 25, 3, 5), (2, "B", 8, 1, 3)], kind)
+    found = {r["wait_type"]: (r["wait_time_ms"], r["wait_count"]) for r in fv.wait_delta(before, after).collect()}
+    assert found == {"A": (15, 3), "B": (3, 2)}
+
+
 def test_a_side_is_its_latest_capture(spark):
     kind = "captured_at int, wait_type string, wait_time_ms bigint, signal_wait_time_ms bigint, waiting_tasks_count bigint"
     before = spark.createDataFrame([(1, "A", 100, 0, 1), (2, "A", 110, 0, 2)], kind)
