@@ -11,6 +11,7 @@ from fleetvitals.llm.bpe import bpe_query
 from fleetvitals.llm.counts import token_counts_query
 from fleetvitals.llm.exact import EXACT_SQL, exact_dedup_query
 from fleetvitals.llm.forest import nearest_query
+from fleetvitals.llm.manifest import MANIFEST_SQL, manifest_query
 from fleetvitals.llm.minhash import near_dedup_query
 from fleetvitals.llm.mixing import MIXING_SQL, mixing_query
 from fleetvitals.llm.sharding import sharding_query
@@ -38,6 +39,7 @@ QUERIES = {
     "op8_repeated_spans": _over(suffix_query, "documents"),
     "op9_bpe": _over(bpe_query, "documents"),
     "op10_exact_dedup": _over(exact_dedup_query, "documents"),
+    "op12_manifest": _over(manifest_query, "documents"),
 }
 
-ORACLE = {"op4_mixing": MIXING_SQL, "op10_exact_dedup": EXACT_SQL}
+ORACLE = {"op4_mixing": MIXING_SQL, "op10_exact_dedup": EXACT_SQL, "op12_manifest": MANIFEST_SQL}
