@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetvitals.llm.boosting import quality_query
 from fleetvitals.llm.bpe import bpe_query
 from fleetvitals.llm.counts import token_counts_query
+from fleetvitals.llm.divergence import DIVERGENCE_SQL, divergence_query
 from fleetvitals.llm.exact import EXACT_SQL, exact_dedup_query
 from fleetvitals.llm.forest import nearest_query
 from fleetvitals.llm.manifest import MANIFEST_SQL, manifest_query
@@ -39,7 +40,8 @@ QUERIES = {
     "op8_repeated_spans": _over(suffix_query, "documents"),
     "op9_bpe": _over(bpe_query, "documents"),
     "op10_exact_dedup": _over(exact_dedup_query, "documents"),
+    "op11_divergence": _over(divergence_query, "documents"),
     "op12_manifest": _over(manifest_query, "documents"),
 }
 
-ORACLE = {"op4_mixing": MIXING_SQL, "op10_exact_dedup": EXACT_SQL, "op12_manifest": MANIFEST_SQL}
+ORACLE = {"op4_mixing": MIXING_SQL, "op10_exact_dedup": EXACT_SQL, "op11_divergence": DIVERGENCE_SQL, "op12_manifest": MANIFEST_SQL}
