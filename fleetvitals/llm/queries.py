@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetvitals.llm.bloom import language_model_query
 from fleetvitals.llm.boosting import quality_query
 from fleetvitals.llm.bpe import bpe_query
 from fleetvitals.llm.counts import token_counts_query
@@ -42,6 +43,7 @@ QUERIES = {
     "op10_exact_dedup": _over(exact_dedup_query, "documents"),
     "op11_divergence": _over(divergence_query, "documents"),
     "op12_manifest": _over(manifest_query, "documents"),
+    "op13_language_model": _over(language_model_query, "documents"),
 }
 
 ORACLE = {"op4_mixing": MIXING_SQL, "op10_exact_dedup": EXACT_SQL, "op11_divergence": DIVERGENCE_SQL, "op12_manifest": MANIFEST_SQL}

@@ -44,7 +44,7 @@ def by_id(frame):
 
 def test_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(contract.queries())
-    assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
