@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetvitals.functions import CATALOG_SCOPE, base_name, fill, half_up, quote_name, scope_of
 from fleetvitals.operators.filters import LAST_SYSTEM_DATABASE, select_names
+from fleetvitals.plans import number_rows
 
 # Pages are 8 KB; object ids up to 255 are internal (fixed values).
 PAGE_KB = 8
@@ -111,6 +112,34 @@ def object_sizes_all(
     return sizes.orderBy("database_name", F.desc("total_MB"), *ties)
 
 
+# Child texts that one task joins at once.
+PIECE_TEXTS = 1000
+
+
+def child_pieces(
+    children: DataFrame,
+    key: str | Sequence[str],
+    text: Column,
+    separator: str,
+    order: str | Sequence[str],
+    name: str = "children",
+    piece_texts: int = PIECE_TEXTS,
+) -> DataFrame:
+    """Joined child texts in numbered pieces: ``piece`` (from 0) and up to ``piece_texts`` texts in order, for a parent of any size.
+
+    Children are numbered in their parent through ranges of (parent, order), so a parent with a third of all
+    rows is numbered by many tasks, and its pieces are joined by many tasks.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    order = [order] if isinstance(order, str) else list(order)
+    kept = children.where(text.isNotNull()).select(*keys, *[F.col(c).alias(f"_by{i}") for i, c in enumerate(order)], text.alias("_text"))
+    # equal places are told apart by their texts
+    numbered = number_rows(kept, [*[f"_by{i}" for i in range(len(order))], "_text"], within=keys, name="_at")
+    piece = (F.col("_at") / F.lit(piece_texts)).cast("bigint").alias("piece")
+    listed = numbered.groupBy(*keys, piece).agg(F.array_sort(F.collect_list(F.struct("_at", "_text"))).alias("_items"))
+    return listed.select(*keys, "piece", F.array_join(F.transform("_items", lambda item: item["_text"]), separator).alias(name))
+
+
 def join_children(
     children: DataFrame,
     key: str | Sequence[str],
@@ -122,14 +151,13 @@ def join_children(
 ) -> DataFrame:
     """One text per parent: its child texts in order, with the separator between them or after each.
 
-    The result is a single value per parent, so a parent's texts have to fit in one row; for the files of
-    a database they do, as a server allows 32,767 files per database.
+    Texts are joined in two steps, first into pieces by many tasks (``child_pieces``), then the pieces of a parent, so the
+    last step sees one row per ``PIECE_TEXTS`` children.  The result is a single value per parent, which has to fit
+    in one row; for longer ones take the pieces.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    order = [order] if isinstance(order, str) else list(order)
-    ordered = F.struct(*[F.col(c) for c in order], text.alias("_text"))
-    kept = children.where(text.isNotNull())
-    listed = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(ordered)).alias("_items"))
+    pieces = child_pieces(children, keys, text, separator, order, "_text")
+    listed = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("piece", "_text"))).alias("_items"))
     joined = F.array_join(F.transform("_items", lambda item: item["_text"]), separator)
     return listed.select(*keys, (F.concat(joined, F.lit(separator)) if trailing else joined).alias(name))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetvitals.functions import fixed_width
-from fleetvitals.plans import first_rows
+from fleetvitals.plans import first_rows, number_any
 from fleetvitals.plans.first_rows import GROUPS
 
 # Rows of the generator, stages of a task, sample sizes and rounds (fixed values).
@@ -22,19 +22,30 @@ EXPIRY_SECONDS = 8192
 TOP_ROWS = 1000
 
 
-def generate_tasks(spark: SparkSession, n: int = TASKS, as_of: datetime | None = None) -> DataFrame:
-    """``n`` task rows: numbered from 1, stage by number, defaults for key and time."""
-    numbered = spark.range(1, n + 1).select(
-        F.col("id").alias("task_id"), (F.col("id") % STAGES).cast("int").alias("stage")
-    )
+def _numbers(source: SparkSession | DataFrame, n: int | None) -> DataFrame:
+    """``id`` from 1: ``n`` of them, or one for each row of a frame, numbered where the rows lie."""
+    if isinstance(source, DataFrame):
+        counted = number_any(source.select(F.lit(True).alias("_row")), "_at").select((F.col("_at") + 1).alias("id"))
+        return counted if n is None else counted.where(F.col("id") <= n)
+    return source.range(1, n + 1)
+
+
+def generate_tasks(source: SparkSession | DataFrame, n: int | None = None, as_of: datetime | None = None) -> DataFrame:
+    """Task rows: numbered from 1, stage by number, defaults for key and time.
+
+    From a session ``n`` of them (``TASKS``, if not given); from a frame as many as it has rows (``n`` at most).
+    """
+    if n is None and not isinstance(source, DataFrame):
+        n = TASKS
+    numbered = _numbers(source, n).select(F.col("id").alias("task_id"), (F.col("id") % STAGES).cast("int").alias("stage"))
     return with_defaults(numbered, as_of=as_of).select("uuid", "task_id", "stage", "valid_to")
 
 
-def generate_sequence(spark: SparkSession, n: int, start: datetime) -> DataFrame:
-    """``n`` rows one second apart, the row number as key and as text."""
+def generate_sequence(source: SparkSession | DataFrame, n: int | None, start: datetime) -> DataFrame:
+    """``n`` rows, or one per row of a frame, one second apart; the row number as key and as text."""
     number = F.col("id")
-    return spark.range(1, n + 1).select(
-        number.cast("int").alias("i"),
+    return _numbers(source, n).select(
+        number.alias("i"),
         F.timestamp_add("SECOND", number, F.lit(start)).alias("d"),
         number.cast("string").alias("v"),
     )
