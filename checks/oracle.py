@@ -8,8 +8,18 @@ from __future__ import annotations
 
 import re
 
-from fleetvitals.operators.ledger import STATUS_TEXTS
-from fleetvitals.operators.workload import DRILL_DOWN, SINGLE_PLAN
+from checks.report_sql import report_sql
+
+# The texts that results must contain (fixed values).
+STATUS_TEXTS = {1: "Ошибка", 0: "Успешно", None: "Не обработано"}
+SINGLE_PLAN = "there is only one plan in cache, you see everything"
+DRILL_DOWN = """SELECT st.text, qp.query_plan, qs.execution_count,
+       qs.total_worker_time div 1000 AS total_worker_time, qs.total_logical_reads,
+       qs.total_grant_kb div 1024 AS total_grant_MB, qs.total_spills
+FROM query_stats qs
+LEFT JOIN sql_text st ON st.sql_handle = qs.sql_handle
+LEFT JOIN query_plans qp ON qp.plan_handle = qs.plan_handle
+WHERE qs.query_hash = """
 
 # ------------------------------------------------------------------------------------------- telemetry
 
@@ -308,6 +318,22 @@ SELECT s.session_id, s.login_name, s.host_name, s.status, s.db_name,
        s.open_transaction_count, s.text {blocker}
 FROM snap s JOIN contended c USING (session_id)"""
 
+_ROLES = """
+WITH held_in AS (SELECT DISTINCT "granted_SPID" AS session_id, locked_object_name, resource_type, resource FROM {pairs}),
+awaited_in AS (SELECT DISTINCT "waiting_SPID" AS session_id, locked_object_name, resource_type, resource FROM {pairs}),
+roles AS (SELECT session_id, CASE WHEN NOT bool_or(waits) THEN 'head' WHEN bool_or(NOT waits) THEN 'mid' ELSE 'leaf' END AS role
+  FROM (SELECT session_id, false AS waits FROM held_in UNION ALL SELECT session_id, true FROM awaited_in) GROUP BY 1),
+flagged AS (SELECT s.*, r.role, CASE r.role
+    WHEN 'leaf' THEN EXISTS (SELECT 1 FROM awaited_in h WHERE h.session_id = s.session_id AND h.locked_object_name = s.object_name
+                             AND h.resource_type = s.resource_type AND h.resource = s.resource_description)
+    ELSE EXISTS (SELECT 1 FROM held_in h WHERE h.session_id = s.session_id AND h.locked_object_name = s.object_name
+                 AND h.resource_type = s.resource_type AND h.resource = s.resource_description) END AS hit
+  FROM snap s JOIN roles r USING (session_id))
+SELECT session_id, login_name, host_name, status, db_name, if(hit, '___' || object_name || '___', object_name) AS object_name,
+       resource_type, resource_description, hobt_id, request_type,
+       if(role = 'head' OR request_status = 'GRANT', request_status, '___' || request_status || '___') AS request_status,
+       request_mode, open_transaction_count, text, blocking_session_id, role FROM flagged"""
+
 _WAITING_STATUS = "if(s.request_status = 'GRANT', 'GRANT', '___' || s.request_status || '___')"
 
 
@@ -598,4 +624,118 @@ SELECT task_id, stage, 36 AS key_length, '2000-01-01 00:00:00' AS valid_to FROM
     "top_k_fixed_width": "SELECT i, d, rpad(v, 7, ' ') AS v FROM sequence_ ORDER BY d, i LIMIT 1000",
 }
 
+_CLASS = """
+SELECT g.db_name, g.hobt_id, g.object_name AS locked_object_name, g.resource_description AS resource, g.resource_type,
+       g.request_mode AS lock_mode, g.request_status AS lock_status, {link} w.request_mode AS waiting_lock_mode, {holders} AS holders,
+       {waiters} AS waiters, count(*) AS pairs
+FROM (SELECT row_number() OVER () AS n, * FROM snap) g JOIN (SELECT row_number() OVER () AS n, * FROM snap) w
+  ON g.db_name = w.db_name AND g.hobt_id = w.hobt_id AND g.object_name = w.object_name
+ AND g.resource_description = w.resource_description AND g.session_id <> w.session_id AND {met}
+GROUP BY g.db_name, g.hobt_id, g.object_name, g.resource_description, g.resource_type, g.request_mode, g.request_status, {group} w.request_mode"""
+
+# rows of the classes, whether or not each is in a pair
+_HOLDERS = """(SELECT count(*) FROM snap h WHERE h.db_name = g.db_name AND h.hobt_id = g.hobt_id AND h.object_name = g.object_name
+  AND h.resource_description = g.resource_description AND h.resource_type = g.resource_type AND h.request_mode = g.request_mode
+  AND h.request_status = g.request_status)"""
+_WAITERS = """(SELECT count(*) FROM snap h WHERE h.db_name = g.db_name AND h.hobt_id = g.hobt_id AND h.object_name = g.object_name
+  AND h.resource_description = g.resource_description AND h.request_mode = w.request_mode AND h.request_status <> 'GRANT')"""
+
+# with system databases and sessions, names as in the plain snapshot
+_ALL_SHOT = """
+SELECT * EXCLUDE (db_id, is_system) REPLACE (coalesce(object_name,
+         CASE WHEN resource_type = 'OBJECT' THEN 'OBJECT: ' ELSE 'HOBT: ' END || CAST(hobt_id AS VARCHAR)) AS object_name)
+FROM all_locks WHERE db_id > 0"""
+_LOGIN = "Customer#000000010"
+
+_SINK = """
+WITH captures AS (SELECT 'user#' || CAST(user_id AS VARCHAR) AS wait_type, ts AS captured_at, event_type = 'view' AS second,
+    CASE WHEN value >= 20 THEN CAST(floor(value * 1000) AS BIGINT) END AS wait_time_ms FROM events),
+marks AS (SELECT max(captured_at) FILTER (NOT second) - INTERVAL {delay} AS m0, max(captured_at) - INTERVAL {delay} AS m1 FROM captures),
+placed AS (SELECT c.* FROM captures c, marks WHERE captured_at <= m1 AND (NOT second OR captured_at > m0))"""
+_SINK_DELTAS = f"""{_SINK}
+SELECT * FROM (
+  SELECT wait_type, lag(captured_at) OVER w AS from_time, captured_at, wait_time_ms - lag(wait_time_ms) OVER w AS wait_time_ms_delta
+  FROM placed WINDOW w AS (PARTITION BY wait_type ORDER BY captured_at, wait_time_ms NULLS FIRST))
+WHERE from_time IS NOT NULL"""
+
+_WALK = """
+WITH RECURSIVE most AS (SELECT max(c_custkey) AS n FROM customer),
+links AS (SELECT c_custkey AS session_id,
+    CASE WHEN c_mktsegment <> 'MACHINERY' THEN (c_custkey * 7919 + c_nationkey * 104729) % n + 1 END AS blocker, c_acctbal FROM customer, most),
+chain_walk AS (
+  SELECT session_id, blocker AS onward, [session_id] AS path FROM links
+  UNION ALL
+  SELECT w.session_id, l.blocker, list_append(w.path, w.onward) FROM chain_walk w JOIN links l ON l.session_id = w.onward
+  WHERE NOT list_contains(w.path, w.onward)),
+walked AS (SELECT * FROM chain_walk WHERE onward IS NULL OR list_contains(path, onward))"""
+
+ORACLE |= {
+    "chain_roots": """
+WITH edges AS (SELECT DISTINCT session_id, nullif(blocking_session_id, 0) AS blocker FROM snap),
+chain_walk AS (
+  SELECT session_id, blocker AS onward, 1 AS n, session_id AS root FROM edges
+  UNION ALL
+  SELECT c.session_id, e.blocker, c.n + 1, c.onward FROM chain_walk c LEFT JOIN edges e ON e.session_id = c.onward WHERE c.onward IS NOT NULL)
+SELECT c.session_id, e.blocker AS blocking_session_id, root AS root_session_id, CAST(n AS BIGINT) AS chain_length, CAST(NULL AS BIGINT) AS cycle_id
+FROM chain_walk c JOIN edges e USING (session_id) WHERE onward IS NULL""",
+    "chain_roots_circles": f"""{_WALK}
+SELECT w.session_id, l.blocker AS blocking_session_id, w.path[-1] AS root_session_id, len(w.path) AS chain_length,
+       list_min(CASE WHEN w.onward IS NOT NULL THEN list_slice(w.path, list_position(w.path, w.onward), len(w.path)) END) AS cycle_id
+FROM walked w JOIN links l USING (session_id)""",
+    "expand_chains": f"""{_WALK}
+SELECT session_id, unnest(range(len(path))) AS step, unnest(path) AS on_path FROM walked JOIN links USING (session_id) WHERE c_acctbal > 9000""",
+    "numbered_orders": """
+SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice, count(*) OVER (PARTITION BY o_custkey) AS group_rows,
+       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1 AS position FROM orders""",
+    "numbered_lines": """
+SELECT l_shipdate, l_orderkey, l_linenumber, count(*) OVER () AS group_rows,
+       row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS position FROM lineitem""",
+    "repeated_lines": """
+SELECT l_orderkey, l_linenumber, l_quantity, unnest(range(CAST(floor(l_quantity / 10) AS BIGINT))) AS copy FROM lineitem""",
+    "join_lines": """
+SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ', ' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS parts FROM lineitem GROUP BY 1""",
+    "join_lines_skewed": """
+SELECT CASE WHEN l_returnflag = 'R' THEN -1 ELSE l_orderkey END AS parent,
+       string_agg(CAST(l_partkey AS VARCHAR) || ';', '' ORDER BY l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR)) AS parts
+FROM lineitem GROUP BY 1""",
+    "child_pieces": """
+SELECT l_returnflag, n // 1000 AS piece, string_agg(part, ',' ORDER BY n) AS parts
+FROM (SELECT l_returnflag, CAST(l_partkey AS VARCHAR) AS part,
+             row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR)) - 1 AS n FROM lineitem)
+GROUP BY 1, 2""",
+    "delta_sink": _SINK_DELTAS.format(delay="10 DAYS"),
+    "delta_sink_undelayed": _SINK_DELTAS.format(delay="0 DAYS"),
+    "late_captures": f"{_SINK.format(delay='5 DAYS')}\nSELECT wait_type, captured_at, wait_time_ms FROM captures, marks WHERE second AND captured_at <= m0",
+    "lock_details": _ROLES.format(pairs="pairs"),
+    "lock_details_resource": _ROLES.format(pairs="pairs_resource"),
+    "wait_classes_blocker": _CLASS.format(
+        link='g.session_id AS "granted_SPID",', group="g.session_id,", met="w.blocking_session_id = g.session_id", holders="count(DISTINCT g.n)", waiters="count(DISTINCT w.n)"
+    ),
+    "wait_classes_resource": _CLASS.format(
+        link="", group="", met="g.request_status = 'GRANT' AND w.request_status <> 'GRANT'", holders=_HOLDERS, waiters=_WAITERS
+    ),
+    "waiting_sessions_blocker": 'SELECT "waiting_SPID", count(*) AS pairs FROM pairs GROUP BY 1',
+    "waiting_sessions_resource": 'SELECT "waiting_SPID", count(*) AS pairs FROM pairs_resource GROUP BY 1',
+    "lock_reports": """
+WITH blocked AS (SELECT blocking_session_id AS session_id, min(session_id) AS lowest FROM requests WHERE blocking_session_id <> 0 GROUP BY 1),
+shown AS (SELECT session_id AS report_of, 'locks' AS section, session_id FROM blocked
+  UNION ALL SELECT session_id, 'blocked_locks', lowest FROM blocked)
+SELECT report_of, section, session_id, l.request_mode, l.request_status, o.name AS locked_object, l.resource_type, count(*) AS total_locks
+FROM shown JOIN tran_locks l USING (session_id)
+LEFT JOIN object_names o ON o.db_id = l.db_id AND o.object_id = l.entity_id GROUP BY ALL""",
+    "locking_report_overview": report_sql(_half_up),
+    "locking_report_detailed": report_sql(_half_up, detailed=True, chains=True),
+    "locking_report_database": report_sql(_half_up, "db_name = 'db_7'", "db_name = 'db_7'", detailed=True),
+    "locking_report_database_id": report_sql(_half_up, "db_name = 'db_12'", "db_name = 'db_12'"),
+    "locking_report_session": report_sql(_half_up, "session_id = 7", '"granted_SPID" = 7 OR "waiting_SPID" = 7', detailed=True),
+    "locking_report_login": report_sql(
+        _half_up,
+        f"login_name = '{_LOGIN}'",
+        f"login = '{_LOGIN}' OR waiting_login = '{_LOGIN}'",
+        detailed=True,
+        shot=_ALL_SHOT,
+        couple=RELATIONS["pairs"].replace("snap", "shot"),
+    ),
+}
+
 ORACLE = {name: _sql(body) for name, body in ORACLE.items()}

@@ -173,6 +173,45 @@ def delta_stream(t):
     )
 
 
+def _arrivals(t: Telemetry) -> DataFrame:
+    """Captures of single events as a stream of two micro-batches: views arrive after all others."""
+    landed = scratch_path(t.spark, "arrivals")
+    events = t.table("events").select(
+        F.concat(F.lit("user#"), F.col("user_id").cast("string")).alias("wait_type"),
+        F.col("ts").alias("captured_at"),
+        # a counter that was not read
+        F.when(F.col("value") >= 20, F.floor(F.col("value") * 1000).cast("bigint")).alias("wait_time_ms"),
+        (F.col("event_type") == "view").alias("late"),
+    )
+    for late in (False, True):
+        events.where(F.col("late") == late).drop("late").coalesce(1).write.mode("append").parquet(landed)
+    schema = t.spark.read.parquet(landed).schema
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landed)
+
+
+def _sunk(t: Telemetry, delay: str) -> str:
+    target = scratch_path(t.spark, "sink")
+    writer = fv.delta_sink(_arrivals(t), ["wait_type"], ["wait_time_ms"], target, delay=delay, expiry=None)
+    writer.option("checkpointLocation", scratch_path(t.spark, "sink-progress")).trigger(availableNow=True).start().awaitTermination()
+    return target
+
+
+@query("delta_sink")
+def delta_sink(t):
+    """Captures of the last days still wait when the stream ends."""
+    return t.spark.read.parquet(f"{_sunk(t, '10 days')}/deltas").drop("batch")
+
+
+@query("delta_sink_undelayed")
+def delta_sink_undelayed(t):
+    return t.spark.read.parquet(f"{_sunk(t, '0 days')}/deltas").drop("batch")
+
+
+@query("late_captures")
+def late_captures(t):
+    return t.spark.read.parquet(f"{_sunk(t, '5 days')}/late").drop("batch")
+
+
 # ---------------------------------------------------------------------------------------------- workload
 
 
@@ -250,6 +289,26 @@ def join_children(t):
     return fv.join_children(t.master_files, "database_id", F.col("physical_name"), ", ", "file_id", "files")
 
 
+@query("join_lines")
+def join_lines(t):
+    """The parts of every order, in order of line."""
+    return fv.join_children(t.table("lineitem"), "l_orderkey", F.col("l_partkey").cast("string"), ", ", "l_linenumber", "parts")
+
+
+@query("join_lines_skewed")
+def join_lines_skewed(t):
+    """Returned lines, about a quarter of all, are children of one parent."""
+    parent = F.when(F.col("l_returnflag") == "R", F.lit(-1).cast("bigint")).otherwise(F.col("l_orderkey"))
+    lines = t.table("lineitem").withColumn("parent", parent)
+    return fv.join_children(lines, "parent", F.col("l_partkey").cast("string"), ";", ["l_orderkey", "l_linenumber"], "parts", trailing=True)
+
+
+@query("child_pieces")
+def child_pieces(t):
+    lines = t.table("lineitem")
+    return fv.child_pieces(lines, "l_returnflag", F.col("l_partkey").cast("string"), ",", ["l_orderkey", "l_linenumber"], "parts")
+
+
 @query("collation_scripts")
 def collation_scripts(t):
     return fv.collation_scripts(t.databases, t.master_files)
@@ -365,19 +424,19 @@ def object_overview(t):
 @query("head_blockers")
 def head_blockers(t):
     snapshot = _snapshot(t)
-    return fv.head_blockers(snapshot, fv.contention(snapshot), ordered=False)
+    return fv.head_blockers(snapshot, fv.contention(snapshot, stored=True), once=False, ordered=False)
 
 
 @query("mid_blockers")
 def mid_blockers(t):
     snapshot = _snapshot(t)
-    return fv.mid_blockers(snapshot, fv.contention(snapshot), ordered=False)
+    return fv.mid_blockers(snapshot, fv.contention(snapshot, stored=True), once=False, ordered=False)
 
 
 @query("leaf_waiters")
 def leaf_waiters(t):
     snapshot = _snapshot(t)
-    return fv.leaf_waiters(snapshot, fv.contention(snapshot), ordered=False)
+    return fv.leaf_waiters(snapshot, fv.contention(snapshot, stored=True), once=False, ordered=False)
 
 
 @query("leaf_waiters_once")
@@ -386,6 +445,39 @@ def leaf_waiters_once(t):
     return fv.leaf_waiters(snapshot, fv.contention(snapshot), once=True, ordered=False)
 
 
+@query("lock_details")
+def lock_details(t):
+    snapshot = _snapshot(t)
+    return fv.lock_details(snapshot, fv.contention(snapshot, stored=True))
+
+
+@query("lock_details_resource")
+def lock_details_resource(t):
+    """By resource, many more sessions hold or wait, and the busiest ones in very many places."""
+    snapshot = _snapshot(t)
+    return fv.lock_details(snapshot, fv.contention(snapshot, "resource", stored=True))
+
+
+@query("wait_classes_blocker")
+def wait_classes_blocker(t):
+    return fv.wait_classes(_snapshot(t), "blocker")
+
+
+@query("wait_classes_resource")
+def wait_classes_resource(t):
+    return fv.wait_classes(_snapshot(t), "resource")
+
+
+@query("waiting_sessions_blocker")
+def waiting_sessions_blocker(t):
+    return fv.waiting_sessions(_snapshot(t), "blocker")
+
+
+@query("waiting_sessions_resource")
+def waiting_sessions_resource(t):
+    return fv.waiting_sessions(_snapshot(t), "resource")
+
+
 @query("blocking_chains_reference")
 def blocking_chains_reference(t):
     return fv.blocking_chains(_snapshot(t), "reference")
@@ -396,6 +488,31 @@ def blocking_chains_full(t):
     return fv.blocking_chains(_snapshot(t), "full")
 
 
+@query("chain_roots")
+def chain_roots(t):
+    return fv.chain_roots(fv.blocking_edges(_snapshot(t)))
+
+
+def _circles(t: Telemetry) -> DataFrame:
+    """Each customer waits for another, most of them in the end for a circle; one segment waits for nobody."""
+    key, most = F.col("c_custkey"), t.table("customer").agg(F.max("c_custkey").alias("_most"))
+    number = (key * 7919 + F.col("c_nationkey") * 104729) % F.col("_most") + 1
+    blocker = F.when(F.col("c_mktsegment") != "MACHINERY", number)
+    return t.table("customer").crossJoin(F.broadcast(most)).select(key.alias("session_id"), blocker.alias("blocking_session_id"))
+
+
+@query("chain_roots_circles")
+def chain_roots_circles(t):
+    return fv.chain_roots(_circles(t))
+
+
+@query("expand_chains")
+def expand_chains(t):
+    """The paths of the sessions of the largest accounts, in and out of circles."""
+    rich = t.table("customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("session_id"))
+    return fv.expand_chains(fv.chain_roots(_circles(t)), rich)
+
+
 @query("session_locks")
 def session_locks(t):
     return fv.session_locks(t.tran_locks, t.lock_partitions, t.lock_objects)
@@ -414,12 +531,17 @@ def lock_report(t):
     return report["locks"].unionByName(report["blocked_locks"])
 
 
+@query("lock_reports")
+def lock_reports(t):
+    """The reports of all sessions that block others."""
+    return fv.lock_reports(t.tran_locks, t.requests, t.lock_partitions, t.lock_objects)
+
+
 @query("locking_report")
 def locking_report(t):
     """Rows in every section of the detailed report."""
-    report = fv.locking_report(
-        _inputs(t), t.active_snapshot_tx, "DETAILED", chains=True, snapshot_path=scratch_path(t.spark, "report")
-    )
+    path = scratch_path(t.spark, "report")
+    report = fv.locking_report(_inputs(t), t.active_snapshot_tx, "DETAILED", chains=True, snapshot_path=path, once=False)
     counts = [
         rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(section).alias("section"), "rows")
         for section, rows in report.items()
@@ -427,22 +549,79 @@ def locking_report(t):
     return reduce(DataFrame.unionByName, counts)
 
 
+def _report_text(t: Telemetry, *mode: str, **wanted) -> DataFrame:
+    """The whole report in its order: section, row number and the row's columns as one text."""
+    report = fv.locking_report(_inputs(t), t.active_snapshot_tx, *mode, **wanted)
+    cell = lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("NULL")))
+    content = F.array_join(F.transform(F.map_entries("columns"), cell), "|").alias("content")
+    return fv.report_table(report).select("section", "row_number", content)
+
+
+@query("locking_report_overview")
+def locking_report_overview(t):
+    return _report_text(t)
+
+
+@query("locking_report_detailed")
+def locking_report_detailed(t):
+    return _report_text(t, "DETAILED", chains=True)
+
+
+@query("locking_report_database")
+def locking_report_database(t):
+    return _report_text(t, "DETAILED", db_name="db_7")
+
+
+@query("locking_report_database_id")
+def locking_report_database_id(t):
+    return _report_text(t, db_id=12)
+
+
+@query("locking_report_session")
+def locking_report_session(t):
+    return _report_text(t, "DETAILED", spid=7)
+
+
+@query("locking_report_login")
+def locking_report_login(t):
+    return _report_text(t, "DETAILED", login="Customer#000000010", system_databases=True, system_sessions=True)
+
+
 # ------------------------------------------------------------------------------------------------- tables
 
 
 @query("generate_tasks")
 def generate_tasks(t):
-    rows = t.table("orders").count()
-    return fv.generate_tasks(t.spark, rows, AS_OF).select(
+    return fv.generate_tasks(t.table("orders"), as_of=AS_OF).select(
         "task_id", "stage", format_datetime(F.col("valid_to")).alias("valid_to")
     )
 
 
 @query("generate_sequence")
 def generate_sequence(t):
-    rows = t.table("lineitem").count()
-    sequence = fv.generate_sequence(t.spark, rows, datetime(2020, 1, 1))
-    return sequence.withColumn("d", F.col("d").cast("timestamp_ntz"))
+    sequence = fv.generate_sequence(t.table("lineitem"), None, datetime(2020, 1, 1))
+    return sequence.withColumns({"i": F.col("i").cast("int"), "d": F.col("d").cast("timestamp_ntz")})
+
+
+@query("numbered_orders")
+def numbered_orders(t):
+    """Orders numbered by date in their customer."""
+    orders = t.table("orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    return fv.number_rows(orders, [F.desc("o_orderdate"), "o_orderkey"], within=["o_custkey"])
+
+
+@query("numbered_lines")
+def numbered_lines(t):
+    """All lines numbered by date: one group, many ties."""
+    lines = t.table("lineitem").select("l_shipdate", "l_orderkey", "l_linenumber")
+    return fv.number_rows(lines, ["l_shipdate", "l_orderkey", "l_linenumber"])
+
+
+@query("repeated_lines")
+def repeated_lines(t):
+    """Each line as often as its quantity in tens says."""
+    lines = t.table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return fv.repeat_rows(lines, F.floor(F.col("l_quantity") / 10))
 
 
 @query("sample_exact")

@@ -2,6 +2,7 @@
 
 from fleetvitals.operators.catalog import (
     Catalog,
+    child_pieces,
     collation_scripts,
     join_children,
     move_commands,
@@ -9,7 +10,7 @@ from fleetvitals.operators.catalog import (
     object_sizes_all,
     render,
 )
-from fleetvitals.operators.chains import blocking_chains, blocking_edges, full_chains
+from fleetvitals.operators.chains import blocking_chains, blocking_edges, chain_roots, expand_chains, full_chains
 from fleetvitals.operators.counters import (
     counter_deltas,
     health_report,
@@ -36,16 +37,21 @@ from fleetvitals.operators.locks import (
     contention,
     head_blockers,
     leaf_waiters,
+    lock_details,
     lock_report,
+    lock_reports,
     lock_snapshot,
     locking_report,
     mid_blockers,
     object_overview,
+    report_table,
     resolve_names,
     session_locks,
     session_overview,
+    wait_classes,
     wait_pair_report,
     wait_pairs,
+    waiting_sessions,
 )
 from fleetvitals.operators.tables import (
     add_seconds,
@@ -80,11 +86,14 @@ __all__ = [
     "blocked_by",
     "blocking_chains",
     "blocking_edges",
+    "chain_roots",
+    "child_pieces",
     "collation_scripts",
     "contention",
     "counter_deltas",
     "delete_expired",
     "delete_where",
+    "expand_chains",
     "extend_ledger",
     "full_chains",
     "generate_sequence",
@@ -97,7 +106,9 @@ __all__ = [
     "join_children",
     "leaf_waiters",
     "ledger_report",
+    "lock_details",
     "lock_report",
+    "lock_reports",
     "lock_snapshot",
     "locking_report",
     "mid_blockers",
@@ -112,6 +123,7 @@ __all__ = [
     "plan_divergence",
     "plans_for_query",
     "render",
+    "report_table",
     "repeat_update",
     "require_exists",
     "resolve_names",
@@ -126,9 +138,11 @@ __all__ = [
     "top_queries",
     "update_all",
     "update_where_in",
+    "wait_classes",
     "wait_delta",
     "wait_pair_report",
     "wait_pairs",
     "wait_report",
+    "waiting_sessions",
     "with_defaults",
 ]

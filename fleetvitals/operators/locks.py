@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from fleetvitals.functions import CATALOG_SCOPE, half_up, scope_of
 from fleetvitals.operators.chains import blocking_chains
 from fleetvitals.operators.filters import LAST_SYSTEM_DATABASE, optional_filter, require_exists
-from fleetvitals.plans import block_join, durable
+from fleetvitals.plans import block_join, durable, number_any
 from fleetvitals.sources import load_or_build
 
 GRANTED = "GRANT"
@@ -76,6 +77,19 @@ def _type_rank() -> Column:
     return F.when(kind == "OBJECT", 1).when(kind == "EXTENT", 2).when(kind == "PAGE", 3).otherwise(4)
 
 
+def _code(*columns: str) -> Column:
+    """A number that stands for the values."""
+    return F.xxhash64(*columns)
+
+
+def _same(columns: Sequence[str]) -> Column:
+    """Equality of columns with those named ``_of_`` them, NULL being a value."""
+    test = F.lit(True)
+    for c in columns:
+        test = test & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return test
+
+
 def _is_granted() -> Column:
     return F.col("request_status") == GRANTED
 
@@ -296,25 +310,64 @@ def wait_pairs(
     return renamed.select(*scope_of(snapshot), *PAIR_COLUMNS)
 
 
-def wait_pair_report(pairs: DataFrame, by: str = "blocker") -> DataFrame:
-    """Wait pairs by database, sessions with most pairs first.
+def wait_classes(snapshot: DataFrame, by: str = "blocker", db_name: str | None = None, session: bool = False) -> DataFrame:
+    """The wait pairs in factorised form: holder class, waiter class, and how many pairs the two make.
 
-    Pairs per waiting session are counted with partial aggregation and joined back, so a session with very
-    many pairs is not gathered into one window group.
+    A class is the lock rows of one resource that are alike in type, mode and status (holders) or in mode (waiters), so
+    a resource has as many classes as modes are in use, however many rows it has.  ``holders`` and ``waiters`` count
+    the rows of a class, ``pairs`` the pairs of rows of different sessions: the product of the two less the products
+    of each session's own rows, which meet by resource and session.  Work and data are linear in the lock rows;
+    ``wait_pairs`` expands the pairs.  By blocker a class belongs to one blocking session (``granted_SPID``);
+    ``session=True`` keeps the waiting session apart too, which gives the pairs of every waiting session.
+    """
+    _check_by(by)
+    held, awaited, on = _sides(optional_filter(snapshot, db_name=db_name), by)
+    h_class, w_class = ["resource_type", "lock_mode", "lock_status"], ["waiting_lock_mode", *(["waiting_SPID"] if session else [])]
+
+    def counted(side: DataFrame, names: dict[str, str], rows: str) -> DataFrame:
+        """Rows by resource, class and session."""
+        known = side.na.drop(subset=on)
+        return known.groupBy(*on, *[F.col(c).alias(n) for c, n in names.items()]).agg(F.count(F.lit(1)).alias(rows))
+
+    h_rows = counted(held, {c: _HOLDER[c] for c in ("resource_type", "request_mode", "request_status", "session_id")}, "_h")
+    w_rows = counted(awaited, {c: _WAITER[c] for c in ("request_mode", "session_id")}, "_w")
+    pairs = h_rows.groupBy(*on, *h_class).agg(F.sum("_h").alias("holders")).join(
+        w_rows.groupBy(*on, *w_class).agg(F.sum("_w").alias("waiters")), on
+    )
+    own = F.lit(0)
+    if by == "resource":
+        # a session's own rows are no pairs; a blocker is never its own waiter
+        mine = w_rows.withColumn("granted_SPID", F.col("waiting_SPID"))
+        met = h_rows.join(mine, [*on, "granted_SPID"]).groupBy(*on, *h_class, *w_class)
+        less = met.agg(F.sum(F.col("_h") * F.col("_w")).alias("_own"))
+        whole = [*on, *h_class, *w_class]
+        pairs = pairs.join(less.select(*[F.col(c).alias(f"_of_{c}") for c in whole], "_own"), _same(whole), "left")
+        own = F.coalesce("_own", F.lit(0))
+    counts = pairs.withColumn("pairs", F.col("holders") * F.col("waiters") - own).where("pairs > 0")
+    shown = ["db_name", "hobt_id", F.col("object_name").alias("locked_object_name"), F.col("resource_description").alias("resource")]
+    link = [F.col("_link").alias("granted_SPID")] if by == "blocker" else []
+    return counts.select(*scope_of(snapshot), *shown, *h_class, *link, *w_class, "holders", "waiters", "pairs")
+
+
+def waiting_sessions(snapshot: DataFrame, by: str = "blocker", db_name: str | None = None) -> DataFrame:
+    """``waiting_SPID`` and its number of ``pairs``, from the classes."""
+    classes = wait_classes(snapshot, by, db_name, session=True)
+    return classes.groupBy(*scope_of(snapshot), "waiting_SPID").agg(F.sum("pairs").alias("pairs"))
+
+
+def wait_pair_report(pairs: DataFrame, by: str = "blocker", counts: DataFrame | None = None) -> DataFrame:
+    """Wait pairs by database, sessions with most pairs first; further columns decide between equals.
+
+    ``counts`` are the pairs per waiting session, as ``waiting_sessions`` has them; without, the pairs are counted
+    with partial aggregation and joined back, so a session with very many pairs is not gathered into one
+    window group.
     """
     _check_by(by)
     if by == "blocker":
         pairs = pairs.where(F.col("waiter_blocking_session") == F.col("granted_SPID"))
     session = [*scope_of(pairs), "waiting_SPID"]
-    counts = pairs.groupBy(*session).agg(F.count(F.lit(1)).alias("_pairs"))
-    order = [
-        *scope_of(pairs),
-        "db_name",
-        F.desc("_pairs"),
-        "locked_object_name",
-        _type_rank(),
-        "granted_SPID",
-    ]
+    counts = pairs.groupBy(*session).agg(F.count(F.lit(1)).alias("pairs")) if counts is None else counts
+    order = [*scope_of(pairs), "db_name", F.desc("pairs"), "locked_object_name", _type_rank(), "granted_SPID", *PAIR_COLUMNS]
     return pairs.join(counts, session).orderBy(*order).select(*scope_of(pairs), *PAIR_COLUMNS)
 
 
@@ -338,9 +391,12 @@ def contention(
     db_name: str | None = None,
     spid: int | None = None,
     login: str | None = None,
+    stored: bool = False,
 ) -> Contention:
     """The distinct holders and waiters of ``wait_pairs`` with the same arguments, without forming pairs.
 
+    ``stored=True`` checkpoints the two sets, for use in several reports.
+
     A row is in a pair when the other side of its resource has a session other than its own.  The least
     and the greatest session id of that side decide this: at least one of them differs from the row's own
     exactly when some session does.  With a session or login filter, a row that does not meet the filter
@@ -400,10 +456,11 @@ def contention(
         ).distinct()
 
     held_as = holders.withColumnRenamed("resource_type", "_held_type")
-    return Contention(
+    found = Contention(
         holders=distinct_parties(held_as, bounds(waiters, on), "_held_type"),
         waiters=distinct_parties(waiters, bounds(held_as, [*on, "_held_type"]), "_held_type"),
     )
+    return Contention(*map(durable, found)) if stored else found
 
 
 # --------------------------------------------------------------------------------------------- overviews
@@ -422,14 +479,14 @@ def session_overview(
 
     ``holders`` are the blocking sessions (``contention(...).holders``, or any frame with ``session_id``).
     Each lock row is counted once under its object and once under its database.  The first grouping makes
-    these distinct per session, the second counts them, so a hot session is counted by many tasks.
+    these distinct per session, the second counts them, so a hot session is counted by many tasks.  Both group by
+    numbers: session id and 64-bit codes of names and of the session's other columns, which are joined last,
+    from one row per session and task.
     ``strict_reference=True`` names isolation level 2 the same with and without a row version
     transaction.
     """
     scope = scope_of(snapshot)
-    who = [
-        *scope,
-        "session_id",
+    attributes = [
         "login_name",
         "host_name",
         "status",
@@ -438,14 +495,16 @@ def session_overview(
         "text",
         "open_transaction_count",
     ]
-    rows = optional_filter(snapshot, db_name=db_name, session_id=spid, login_name=login)
+    # lock rows are grouped by numbers alone; names and texts follow with one row per session
+    rows = optional_filter(snapshot, db_name=db_name, session_id=spid, login_name=login).withColumn("_who", _code(*attributes))
+    who = [*scope, "session_id", "_who"]
     nonintent = _is_granted() & ~F.col("request_mode").startswith("I") & (F.col("resource_type") == "OBJECT")
     none = F.lit(False)
 
     def item(is_db: bool, name: str, granted: Column, waiting: Column, plain: Column) -> Column:
         return F.struct(
             F.lit(is_db).alias("is_db"),
-            F.col(name).alias("name"),
+            F.when(F.col(name).isNotNull(), _code(name)).alias("name"),
             granted.alias("granted"),
             waiting.alias("waiting"),
             plain.alias("nonintent"),
@@ -464,7 +523,7 @@ def session_overview(
     def objects_with(counter: str) -> Column:
         return F.count_if(~F.col("_is_db") & named & (F.col(counter) > 0))
 
-    per_session = touched.groupBy(*who).agg(
+    tallied = touched.groupBy(*who).agg(
         F.count_if(F.col("_is_db") & named).alias("locks_in_dbs"),
         F.sum("_granted").alias("granted_locks"),
         F.sum("_waiting").alias("waiting_locks"),
@@ -472,6 +531,8 @@ def session_overview(
         objects_with("_waiting").alias("objects_with_waiting_locks"),
         objects_with("_nonintent").alias("nonintent_objects_granted_locks"),
     )
+    profiles = rows.select(*who, *attributes).distinct()
+    per_session = tallied.join(profiles.select(*[F.col(c).alias(f"_of_{c}") for c in who], *attributes), _same(who)).drop(*[f"_of_{c}" for c in who])
 
     def flagged(df: DataFrame, marks: DataFrame, flag: str) -> DataFrame:
         on = [*scope_of(df, marks), "session_id"]
@@ -492,6 +553,7 @@ def session_overview(
         F.desc("granted_locks"),
         *scope,
         "session_id",
+        *attributes,
     ]
     return marked.orderBy(*order).select(
         *scope,
@@ -571,8 +633,11 @@ def object_overview(
 
 # ---------------------------------------------------------------------------------------- lock details
 #
-# The three details share their arguments: ``once`` shows a lock row once instead of once per contended
-# resource of its session; ``ordered=False`` leaves out the report order, which sorts all rows.
+# The three details share their arguments: ``once=False`` shows a lock row once per contended resource of its
+# session instead of once; ``ordered=False`` leaves out the report order, which sorts all rows.
+
+# What a session in contention does.
+ROLES = ("head", "mid", "leaf")
 
 _DETAIL = (
     "session_id",
@@ -596,47 +661,58 @@ def _marked(text: Column) -> Column:
     return F.concat(F.lit("___"), text, F.lit("___"))
 
 
-def _details(snapshot: DataFrame, contended: DataFrame, waits: bool, once: bool, ordered: bool) -> DataFrame:
-    """All lock rows of the sessions of ``contended``, the contended resource marked.
+def _shown(snapshot: DataFrame, rows: DataFrame, hit: Column, waits: Column | bool, ordered: bool, extra: Sequence[str]) -> DataFrame:
+    """Detail rows with the contended resource and, of sessions that wait, the status of waits marked."""
+    status = F.col("request_status")
+    changed = {
+        "object_name": F.when(hit, _marked(F.col("object_name"))).otherwise(F.col("object_name")),
+        "request_status": F.when(F.lit(waits) & (status != GRANTED), _marked(status)).otherwise(status),
+    }
+    columns = [*scope_of(snapshot), *_DETAIL, *extra]
+    if ordered:
+        rows = rows.orderBy(*scope_of(snapshot), "session_id", "db_name", "object_name", _type_rank(), *_DETAIL, *extra)
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in columns])
+
+
+def lock_details(snapshot: DataFrame, parties: Contention, roles: Sequence[str] = ROLES, ordered: bool = False) -> DataFrame:
+    """Every lock row of the sessions in contention once, with the session's ``role`` and its contended resources marked.
 
-    A lock row appears once per contended resource of its session; with ``once`` it appears once.
+    ``head`` sessions block others and wait for nobody, ``mid`` sessions do both, ``leaf`` sessions only wait.  The
+    parties are reduced in one pass to a row per session (its role) and a row per session and resource (what to
+    mark); the lock rows are joined with the one, then with the other.  Neither holds more than the parties do,
+    and a hot session is a key-unique join that adaptive execution may split.
     """
+    scope = scope_of(snapshot, parties.holders)
+    session = [*scope, "session_id"]
+    ends = parties.holders.withColumn("_holds", F.lit(True)).unionByName(parties.waiters.withColumn("_holds", F.lit(False)))
+    holds, waits = F.bool_or("_holds").alias("_held"), F.bool_or(~F.col("_holds")).alias("_awaited")
+    role = F.when(~F.col("_awaited"), "head").when(F.col("_held"), "mid").otherwise("leaf")
+    by_session = ends.groupBy(*session).agg(holds, waits).select(*session, role.alias("role"))
+    resource = [F.col("locked_object_name").alias("object_name"), "resource_type", F.col("resource").alias("resource_description")]
+    marks = ends.groupBy(*session, *resource).agg(holds, waits)
+    wanted = by_session.where(F.col("role").isin(*roles))
+    rows = snapshot.join(wanted, session).join(marks, [*session, "object_name", "resource_type", "resource_description"], "left")
+    hit = F.coalesce(F.when(F.col("role") == "leaf", F.col("_awaited")).otherwise(F.col("_held")), F.lit(False))
+    return _shown(snapshot, rows, hit, F.col("role") != "head", ordered, ["blocking_session_id", "role"])
+
+
+def _repeated(snapshot: DataFrame, contended: DataFrame, waits: bool, ordered: bool) -> DataFrame:
+    """All lock rows of the sessions of ``contended``, once per contended resource of their session."""
     scope = scope_of(snapshot, contended)
-    if once:
-        on = [*scope, "session_id", "object_name", "resource_type", "resource_description"]
-        sessions = contended.select(*scope, "session_id").distinct()
-        hits = contended.select(
-            *scope,
-            "session_id",
-            F.col("locked_object_name").alias("object_name"),
-            "resource_type",
-            F.col("resource").alias("resource_description"),
-            F.lit(True).alias("_hit"),
-        ).distinct()
-        rows = snapshot.join(sessions, [*scope, "session_id"], "left_semi").join(hits, on, "left")
-        hit = F.col("_hit").isNotNull()
-    else:
-        wanted = contended.select(
-            *scope,
-            "session_id",
-            F.col("locked_object_name").alias("_name"),
-            F.col("resource_type").alias("_type"),
-            F.col("resource").alias("_resource"),
-        )
-        rows = block_join(snapshot, wanted, [*scope, "session_id"])
-        hit = (
-            (F.col("_name") == F.col("object_name"))
-            & (F.col("_type") == F.col("resource_type"))
-            & (F.col("_resource") == F.col("resource_description"))
-        )
-    changed = {"object_name": F.when(hit, _marked(F.col("object_name"))).otherwise(F.col("object_name"))}
-    if waits:
-        status = F.col("request_status")
-        changed["request_status"] = F.when(status == GRANTED, status).otherwise(_marked(status))
-    columns = [*scope_of(snapshot), *_DETAIL, *(["blocking_session_id"] if waits else [])]
-    if ordered:
-        rows = rows.orderBy(*scope_of(snapshot), "session_id", "db_name", "object_name", _type_rank())
-    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in columns])
+    wanted = contended.select(
+        *scope,
+        "session_id",
+        F.col("locked_object_name").alias("_name"),
+        F.col("resource_type").alias("_type"),
+        F.col("resource").alias("_resource"),
+    )
+    rows = block_join(snapshot, wanted, [*scope, "session_id"])
+    hit = (
+        (F.col("_name") == F.col("object_name"))
+        & (F.col("_type") == F.col("resource_type"))
+        & (F.col("_resource") == F.col("resource_description"))
+    )
+    return _shown(snapshot, rows, hit, waits, ordered, ["blocking_session_id"] if waits else [])
 
 
 def _sessions(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
@@ -644,25 +720,25 @@ def _sessions(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return df.join(other.select(*on).distinct(), on, how)
 
 
-def head_blockers(
-    snapshot: DataFrame, parties: Contention, once: bool = False, ordered: bool = True
-) -> DataFrame:
+def head_blockers(snapshot: DataFrame, parties: Contention, once: bool = True, ordered: bool = True) -> DataFrame:
     """Locks of the sessions that block others and wait for nobody."""
-    return _details(snapshot, _sessions(parties.holders, parties.waiters, "left_anti"), False, once, ordered)
+    if once:
+        return lock_details(snapshot, parties, ["head"], ordered).drop("role", "blocking_session_id")
+    return _repeated(snapshot, _sessions(parties.holders, parties.waiters, "left_anti"), False, ordered)
 
 
-def mid_blockers(
-    snapshot: DataFrame, parties: Contention, once: bool = False, ordered: bool = True
-) -> DataFrame:
+def mid_blockers(snapshot: DataFrame, parties: Contention, once: bool = True, ordered: bool = True) -> DataFrame:
     """Locks of the sessions that block others and wait themselves."""
-    return _details(snapshot, _sessions(parties.holders, parties.waiters, "left_semi"), True, once, ordered)
+    if once:
+        return lock_details(snapshot, parties, ["mid"], ordered).drop("role")
+    return _repeated(snapshot, _sessions(parties.holders, parties.waiters, "left_semi"), True, ordered)
 
 
-def leaf_waiters(
-    snapshot: DataFrame, parties: Contention, once: bool = False, ordered: bool = True
-) -> DataFrame:
+def leaf_waiters(snapshot: DataFrame, parties: Contention, once: bool = True, ordered: bool = True) -> DataFrame:
     """Locks of the sessions that only wait."""
-    return _details(snapshot, _sessions(parties.waiters, parties.holders, "left_anti"), True, once, ordered)
+    if once:
+        return lock_details(snapshot, parties, ["leaf"], ordered).drop("role")
+    return _repeated(snapshot, _sessions(parties.waiters, parties.holders, "left_anti"), True, ordered)
 
 
 # ------------------------------------------------------------------------------------- single sessions
@@ -732,6 +808,28 @@ def lock_report(
     }
 
 
+def lock_reports(
+    locks: DataFrame, requests: DataFrame, partitions: DataFrame, objects: DataFrame, sessions: DataFrame | None = None
+) -> DataFrame:
+    """The lock reports of all sessions of ``sessions`` (column ``session_id``), or of all that block others, in one table.
+
+    ``report_of`` names the session a report is about, ``section`` is ``locks`` or ``blocked_locks`` (of the lowest
+    session it blocks).  The locks are counted once, by session, and joined with the reports that show them, so the
+    number of reports doesn't matter.
+    """
+    blocked = blocked_by(requests)
+    scope = scope_of(locks, blocked)
+    wanted = blocked if sessions is None else sessions
+    about = wanted.select(*scope_of(wanted, blocked), "session_id").distinct()
+    own = about.select(*scope, F.col("session_id").alias("report_of"), F.lit("locks").alias("section"), "session_id")
+    lowest = blocked.join(about, [*scope_of(blocked, about), "session_id"], "left_semi").select(
+        *scope, F.col("session_id").alias("report_of"), F.lit("blocked_locks").alias("section"), F.col("min_blocked_session_id").alias("session_id")
+    )
+    counted = session_locks(locks, partitions, objects)
+    columns = [c for c in counted.columns if c not in scope]
+    return own.unionByName(lowest).join(counted, [*scope, "session_id"]).select(*scope, "report_of", "section", *columns)
+
+
 def locking_report(
     inputs: LockInputs,
     active_snapshot_tx: DataFrame,
@@ -748,13 +846,16 @@ def locking_report(
     system_sessions: bool = False,
     own_session_id: int | None = None,
     strict_reference: bool = False,
+    once: bool = True,
+    ordered: bool = True,
+    depth: str = "reference",
 ) -> dict[str, DataFrame]:
     """The whole locking report as named frames, all over one snapshot.
 
     OVERVIEW gives ``wait_pairs``, ``sessions`` and ``objects``; DETAILED adds ``head_blockers``,
-    ``mid_blockers`` and ``leaf_waiters``; ``chains`` adds ``blocking_chains``.  With ``snapshot_path`` the
-    snapshot is stored there, and reused unless ``refresh`` is set; without, it is cached and can be let go
-    with ``release(report['snapshot'])``.
+    ``mid_blockers`` and ``leaf_waiters`` (``once`` and ``ordered`` as there); ``chains`` adds ``blocking_chains`` of
+    the given ``depth``.  With ``snapshot_path`` the snapshot is stored there, and reused unless ``refresh`` is
+    set; without, it is checkpointed.  Holders and waiters are checkpointed once for all sections.
     """
     if mode not in MODES:
         warnings.warn(f"unknown mode {mode!r}, using OVERVIEW", stacklevel=2)
@@ -771,24 +872,39 @@ def locking_report(
     if snapshot_path is not None:
         snapshot = load_or_build(inputs.locks.sparkSession, snapshot_path, build, refresh)
     else:
-        snapshot = build().persist()
+        snapshot = durable(build())
     wanted = {"db_name": db_name, "spid": spid, "login": login}
-    parties = contention(snapshot, by, **wanted)
-    if mode == "DETAILED":
-        # four sections read these two sets
-        parties = Contention(durable(parties.holders), durable(parties.waiters))
+    parties = contention(snapshot, by, **wanted, stored=True)
+    # with a session or login the pairs are few and counted themselves
+    counts = waiting_sessions(snapshot, by, db_name) if spid is None and login is None else None
     report = {
         "snapshot": snapshot,
-        "wait_pairs": wait_pair_report(wait_pairs(snapshot, by, **wanted), by),
+        "wait_pairs": wait_pair_report(wait_pairs(snapshot, by, **wanted), by, counts),
         "sessions": session_overview(
             snapshot, parties.holders, active_snapshot_tx, **wanted, strict_reference=strict_reference
         ),
         "objects": object_overview(snapshot, **wanted),
     }
     if mode == "DETAILED":
-        report["head_blockers"] = head_blockers(snapshot, parties)
-        report["mid_blockers"] = mid_blockers(snapshot, parties)
-        report["leaf_waiters"] = leaf_waiters(snapshot, parties)
+        report["head_blockers"] = head_blockers(snapshot, parties, once, ordered)
+        report["mid_blockers"] = mid_blockers(snapshot, parties, once, ordered)
+        report["leaf_waiters"] = leaf_waiters(snapshot, parties, once, ordered)
     if chains:
-        report["blocking_chains"] = blocking_chains(snapshot, depth="reference")
+        report["blocking_chains"] = blocking_chains(snapshot, depth)
     return report
+
+
+def report_table(report: Mapping[str, DataFrame], sections: Sequence[str] | None = None) -> DataFrame:
+    """The sections of a report as one long table: ``section``, ``row_number`` (from 1) and ``columns``, a map of texts.
+
+    Every section but the snapshot, or those named.  A row's number is its place in the section's order: a
+    sorted section is numbered where it lies, from its rows per task, without another sort.  The numbered
+    sections are checkpointed, so the table can be stored, filtered and compared as a whole.
+    """
+    parts = []
+    for section, rows in report.items():
+        if section in (sections if sections is not None else report.keys() - {"snapshot"}):
+            cells = [cell for name in rows.columns for cell in (F.lit(name), F.col(f"`{name}`").cast("string"))]
+            numbered = number_any(rows.select(F.create_map(*cells).alias("columns")), "_place")
+            parts.append(numbered.select(F.lit(section).alias("section"), (F.col("_place") + 1).alias("row_number"), "columns"))
+    return reduce(DataFrame.unionByName, parts)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 import fleetvitals as fv
@@ -53,3 +55,40 @@ def test_several_blockers_follow_the_lowest(spark):
 def test_unknown_depth(spark):
     with pytest.raises(ValueError):
         fv.blocking_chains(_edges(spark, [(1, None)]), "deep")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chain_roots_equal_full_chains(spark, seed):
+    """Random pointers make trees, tails and cycles; paths that are followed are those that are stored."""
+    draw = random.Random(seed)
+    sessions = draw.sample(range(1, 200), 60)
+    pairs = [(s, draw.choice([None, 0, *sessions, 500, 501]) if draw.random() < 0.9 else s) for s in sessions]
+    pairs += [(s, draw.choice(sessions)) for s in sessions[:10]]
+    edges = _edges(spark, pairs)
+    full = _full(spark, pairs)
+    roots = fv.chain_roots(edges)
+    got = {r["session_id"]: r for r in roots.collect()}
+    assert got.keys() == full.keys()
+    paths = {}
+    for r in fv.expand_chains(roots, edges.select("session_id")).collect():
+        paths.setdefault(r["session_id"], {})[r["step"]] = r["on_path"]
+    for session, (chain, length, root, looped) in full.items():
+        r = got[session]
+        assert (r["root_session_id"], r["chain_length"], r["cycle_id"] is not None) == (root, length, looped), session
+        steps = paths[session]
+        assert sorted(steps) == list(range(length))
+        assert " -> ".join(str(steps[i]) for i in reversed(range(length))) == chain
+        if looped:
+            around, at = [], root
+            while at not in around:
+                around.append(at)
+                at = got[at]["blocking_session_id"]
+            assert r["cycle_id"] == min(around)
+
+
+def test_chain_roots_of_nothing_and_of_one_circle(spark):
+    assert fv.chain_roots(_edges(spark, [])).count() == 0
+    ring = [(i, i % 37 + 1) for i in range(1, 38)]
+    rows = fv.chain_roots(_edges(spark, ring)).collect()
+    assert {(r["chain_length"], r["cycle_id"]) for r in rows} == {(37, 1)}
+    assert {r["session_id"]: r["root_session_id"] for r in rows}[5] == 4

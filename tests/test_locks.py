@@ -102,12 +102,11 @@ def test_pairs_stay_within_server_and_capture(spark):
 
 
 @pytest.mark.parametrize("block_rows", [1, 7, 1000])
-@pytest.mark.parametrize("max_hot", [1, 1000])
-def test_block_join_equals_plain_join(spark, block_rows, max_hot):
+def test_block_join_equals_plain_join(spark, block_rows):
     draw = random.Random(block_rows)
     left = spark.createDataFrame([(draw.choice([1, 1, 1, 2, 3, None]), i // 2) for i in range(80)], "k int, a int")
     right = spark.createDataFrame([(draw.choice([1, 1, 2, 4, None]), i // 3) for i in range(60)], "k int, b int")
-    got = fv.block_join(left, right, ["k"], block_rows, max_hot)
+    got = fv.block_join(left, right, ["k"], block_rows)
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, left.join(right, "k").collect()))
 
 
@@ -303,3 +302,83 @@ def test_locking_report(spark, inputs, tmp_path):
         fv.locking_report(inputs, tx, db_name="nowhere")
     with pytest.raises(ValueError):
         fv.locking_report(inputs, tx, db_name="shop", db_id=2)
+
+
+@pytest.mark.parametrize("by", ["resource", "blocker"])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_classes_hold_all_pairs(spark, by, seed):
+    data = _random_rows(seed)
+    snapshot = spark.createDataFrame(data, SNAP)
+    brute = _brute_pairs(data, by)
+    # database, object, resource, type, modes and status of a pair
+    place = lambda p: (p[0], p[2], p[3], p[1], p[4], p[5], p[12])
+    wanted, per_session = Counter(map(place, brute)), Counter(p[13] for p in brute)
+    got = Counter()
+    classes = fv.wait_classes(snapshot, by).collect()
+    for r in classes:
+        got[(r["db_name"], r["locked_object_name"], r["resource"], r["resource_type"], r["lock_mode"], r["lock_status"], r["waiting_lock_mode"])] += r["pairs"]
+        assert 0 < r["pairs"] <= r["holders"] * r["waiters"]
+    assert got == wanted
+    assert {r["waiting_SPID"]: r["pairs"] for r in fv.waiting_sessions(snapshot, by).collect()} == per_session
+    report = fv.wait_pair_report(fv.wait_pairs(snapshot, by), by, fv.waiting_sessions(snapshot, by)).collect()
+    assert report == fv.wait_pair_report(fv.wait_pairs(snapshot, by), by).collect()
+
+
+def test_classes_of_a_hot_resource_stay_few(spark):
+    """Thousands of holders and waiters on one resource are millions of pairs and a handful of classes."""
+    ids = spark.range(6000).selectExpr(
+        "'d' db_name", "'OBJECT' resource_type", "'r' resource_description", "7L hobt_id", "'o' object_name", "'LOCK' request_type",
+        "IF(id % 2 = 0, 'GRANT', 'WAIT') request_status", "IF(id % 3 = 0, 'S', 'X') request_mode", "id session_id", "'l' login_name",
+        "'h' host_name", "'running' status", "0 open_transaction_count", "CAST(NULL AS BIGINT) blocking_session_id", "2 transaction_il", "'t' text",
+    )
+    classes = fv.wait_classes(ids, "resource").collect()
+    assert len(classes) == 4 and sum(r["pairs"] for r in classes) == 3000 * 3000
+    details = fv.lock_details(ids, fv.contention(ids, "resource", stored=True))
+    assert details.where("object_name = '___o___'").count() == 6000
+
+
+def test_details_take_few_exchanges(spark):
+    snapshot = fv.durable(spark.createDataFrame(_random_rows(4), SNAP))
+    details = fv.lock_details(snapshot, fv.contention(snapshot, stored=True))
+    details.collect()
+    plan = details._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert sum(plan.count(f"{kind}Exchange") for kind in ("", "Broadcast")) <= 6 or plan.count("Exchange ") <= 6
+
+
+def test_names_and_texts_key_no_shuffle_of_lock_rows(spark):
+    """Only the row per session that carries the texts is made distinct by them."""
+    snapshot = spark.createDataFrame(_random_rows(4), SNAP)
+    marks = snapshot.select("session_id").limit(0)
+    overview = fv.session_overview(snapshot, marks, marks)
+    plan = overview._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert keys and sum("text#" in line.split("hashpartitioning")[1] for line in keys) <= 1
+    assert not any("object_name#" in line.split("hashpartitioning")[1] for line in keys)
+
+
+def test_report_table(spark, inputs):
+    """Every section row by row in its order, whatever the mode."""
+    tx = spark.createDataFrame([], "session_id long")
+    report = fv.locking_report(inputs, tx, mode="DETAILED", chains=True)
+    table = fv.report_table(report).collect()
+    for section, frame in report.items():
+        rows = sorted((r["row_number"], r["columns"]) for r in table if r["section"] == section)
+        if section == "snapshot":
+            assert not rows
+            continue
+        shown = [{c: None if v is None else str(v) for c, v in r.asDict().items()} for r in frame.collect()]
+        assert [n for n, _ in rows] == list(range(1, len(shown) + 1))
+        assert [columns for _, columns in rows] == shown
+    only = fv.report_table(report, ["sessions"])
+    assert {r["section"] for r in only.collect()} == {"sessions"}
+
+
+def test_lock_reports_of_a_set(inputs):
+    arguments = (inputs.locks, inputs.requests, inputs.partitions, inputs.objects)
+    single = fv.lock_report(*arguments, 51)
+    got = fv.lock_reports(*arguments).where("report_of = 51").collect()
+    for section in ("locks", "blocked_locks"):
+        mine = Counter(tuple(r)[2:] for r in got if r["section"] == section)
+        assert mine == Counter(map(tuple, single[section].collect())) and mine
+    quiet = inputs.requests.sparkSession.createDataFrame([(52,)], "session_id long")
+    assert {(r["report_of"], r["section"]) for r in fv.lock_reports(*arguments, quiet).collect()} == {(52, "locks")}
