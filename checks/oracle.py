@@ -31,7 +31,7 @@ SELECT event_type || '#' || CAST(user_id AS VARCHAR) AS wait_type,
 FROM events WHERE {period} GROUP BY 1"""
 
 _FILE_STATS = """
-SELECT s_nationkey AS database_id, l_suppkey AS file_id,
+SELECT s_nationkey AS database_id, CASE WHEN s_acctbal >= 0 THEN l_suppkey END AS file_id,
        CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS size_on_disk_bytes,
        CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS num_of_reads,
        CAST(sum(CASE WHEN l_linestatus = 'F' THEN CAST(floor(l_quantity) AS BIGINT) * 8192 ELSE 0 END) AS BIGINT)
@@ -43,12 +43,12 @@ SELECT s_nationkey AS database_id, l_suppkey AS file_id,
        CAST(sum(CASE WHEN l_linestatus <> 'F' THEN l_partkey % 50 ELSE 0 END) AS BIGINT) AS io_stall_write_ms,
        CAST(sum(l_partkey % 50) AS BIGINT) AS io_stall
 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
-WHERE s_acctbal >= 0 AND l_shipdate < TIMESTAMP '{until}'
+WHERE l_shipdate < TIMESTAMP '{until}'
 GROUP BY 1, 2"""
 
 RELATIONS = {
     "waits_before": _WAITS.format(period="ts < TIMESTAMP '2024-01-28'"),
-    "waits_after": _WAITS.format(period="ts >= TIMESTAMP '2024-01-28'"),
+    "waits_after": _WAITS.format(period="true"),
     "active_before": """
 SELECT * FROM waits_before
 WHERE wait_type NOT LIKE 'signup#%' AND waiting_tasks_count > 0""",
@@ -151,7 +151,7 @@ SELECT s_nationkey AS database_id, l_suppkey AS object_id, l_linenumber - 1 AS i
        CAST(sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS BIGINT) AS user_scans,
        CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS user_lookups,
        count(*) AS user_updates
-FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_discount < 0.05 GROUP BY 1, 2, 3""",
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3""",
     "tran_locks": """
 SELECT CASE l_linenumber WHEN 1 THEN 'OBJECT' WHEN 2 THEN 'PAGE' WHEN 3 THEN 'EXTENT' WHEN 4 THEN 'KEY'
             WHEN 5 THEN 'RID' WHEN 6 THEN 'HOBT' ELSE 'METADATA' END AS resource_type,
@@ -669,7 +669,74 @@ chain_walk AS (
   WHERE NOT list_contains(w.path, w.onward)),
 walked AS (SELECT * FROM chain_walk WHERE onward IS NULL OR list_contains(path, onward))"""
 
+_FLEET_WAITS = """
+SELECT * FROM (
+  SELECT 'srv' || CAST(user_id % 7 AS VARCHAR) AS server_id, date_trunc('day', ts) AS captured_at, event_type AS wait_type,
+         CAST(sum(CAST(floor(value * 1000) AS BIGINT)) AS BIGINT) AS t, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS s, count(*) AS n
+  FROM events WHERE {period} GROUP BY 1, 2, 3)
+QUALIFY captured_at = max(captured_at) OVER (PARTITION BY server_id, wait_type)"""
+_FLEET_SNAP = "fleet_snap AS (SELECT *, if(hobt_id % 2 = 0, 'even', 'odd') AS server_id FROM snap)"
+_FLEET_PAIRS = """fleet_pairs AS (SELECT g.server_id, g.session_id AS holder, w.session_id AS waiter, g.object_name, g.resource_type, g.resource_description
+  FROM fleet_snap g JOIN fleet_snap w ON g.server_id = w.server_id AND g.session_id = w.blocking_session_id AND g.db_name = w.db_name
+   AND g.hobt_id = w.hobt_id AND g.object_name = w.object_name AND g.resource_description = w.resource_description AND g.session_id <> w.session_id)"""
+
 ORACLE |= {
+    "wait_delta_fleet": f"""
+WITH b AS ({_FLEET_WAITS.format(period="ts < TIMESTAMP '2024-01-15'")}), a AS ({_FLEET_WAITS.format(period="true")})
+SELECT * FROM (SELECT server_id, wait_type, abs(ifnull(a.t, 0) - ifnull(b.t, 0)) AS wait_time_ms, abs(ifnull(a.s, 0) - ifnull(b.s, 0)) AS signal_wait_time_ms,
+       abs(ifnull(a.n, 0) - ifnull(b.n, 0)) AS wait_count FROM b FULL JOIN a USING (server_id, wait_type)) WHERE wait_count > 0""",
+    "query_rollup_fleet": """
+SELECT l_returnflag AS server_id, CAST(date_trunc('year', l_shipdate) AS TIMESTAMP) AS captured_at, l_partkey AS query_hash, l_suppkey % 5 AS sql_handle,
+       count(*) AS execution_count, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS total_worker_time,
+       max(CAST(floor(l_extendedprice) AS BIGINT)) AS max_worker_time, min(CAST(floor(l_extendedprice) AS BIGINT)) AS min_worker_time,
+       CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS total_logical_reads,
+       max(CAST(l_linenumber AS BIGINT)) AS plan_handle, min(CAST(l_linenumber AS BIGINT)) AS other_plan
+FROM lineitem GROUP BY ALL""",
+    "index_usage_fleet": """
+SELECT u.database_id, s.name || '.' || o.name AS table_name, i.name AS index_name, user_seeks, user_scans, user_lookups, user_updates
+FROM usage_ u JOIN idx i ON u.index_id = i.index_id AND u.object_id = i.object_id
+JOIN objs o ON i.object_id = o.object_id AND o.database_id = u.database_id JOIN schems s ON o.schema_id = s.schema_id""",
+    "session_overview_fleet": f"""
+WITH {_FLEET_SNAP}, {_FLEET_PAIRS},
+tally AS (SELECT server_id, {_SESSION_GROUP}, count(DISTINCT db_name) AS locks_in_dbs,
+    count(*) FILTER (request_status = 'GRANT') AS granted_locks, count(*) FILTER (request_status <> 'GRANT') AS waiting_locks,
+    count(DISTINCT object_name) FILTER (request_status = 'GRANT') AS objects_with_granted_locks,
+    count(DISTINCT object_name) FILTER (request_status <> 'GRANT') AS objects_with_waiting_locks,
+    count(DISTINCT object_name) FILTER (request_status = 'GRANT' AND resource_type = 'OBJECT' AND NOT starts_with(request_mode, 'I'))
+      AS nonintent_objects_granted_locks
+  FROM fleet_snap GROUP BY ALL),
+levels(code, isolation_level) AS (VALUES (0, 'Unspecified'), (1, 'Read Uncommitted'), (2, 'Read Committed'),
+  (3, 'Repeatable Read'), (4, 'Serializable'), (5, 'Snapshot'))
+SELECT t.server_id, t.session_id, login_name, host_name, if(granted_locks > 0 AND status = 'sleeping', 'SLEEPING', status) AS status,
+       open_transaction_count,
+       CASE WHEN transaction_il = 2 AND t.session_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') THEN 'Read Committed Snapshot'
+            ELSE coalesce(isolation_level, 'UNKNOWN') END AS isolation_level,
+       text, locks_in_dbs, granted_locks, waiting_locks, objects_with_granted_locks, objects_with_waiting_locks, nonintent_objects_granted_locks,
+       if(EXISTS (SELECT 1 FROM fleet_pairs p WHERE p.server_id = t.server_id AND p.holder = t.session_id), 'V', '') AS blocker_mark
+FROM tally t LEFT JOIN levels ON code = transaction_il""",
+    "lock_details_fleet": f"""
+WITH {_FLEET_SNAP}, {_FLEET_PAIRS},
+ends AS (SELECT DISTINCT server_id, holder AS session_id, false AS waits, object_name, resource_type, resource_description FROM fleet_pairs
+  UNION SELECT DISTINCT server_id, waiter, true, object_name, resource_type, resource_description FROM fleet_pairs),
+roles AS (SELECT server_id, session_id, CASE WHEN NOT bool_or(waits) THEN 'head' WHEN bool_or(NOT waits) THEN 'mid' ELSE 'leaf' END AS role
+  FROM ends GROUP BY ALL),
+flagged AS (SELECT s.*, r.role, EXISTS (SELECT 1 FROM ends e WHERE e.server_id = s.server_id AND e.session_id = s.session_id
+    AND e.object_name = s.object_name AND e.resource_type = s.resource_type AND e.resource_description = s.resource_description
+    AND e.waits = (r.role = 'leaf')) AS hit
+  FROM fleet_snap s JOIN roles r USING (server_id, session_id))
+SELECT server_id, session_id, login_name, host_name, status, db_name, if(hit, '___' || object_name || '___', object_name) AS object_name,
+       resource_type, resource_description, hobt_id, request_type,
+       if(role = 'head' OR request_status = 'GRANT', request_status, '___' || request_status || '___') AS request_status,
+       request_mode, open_transaction_count, text, blocking_session_id, role FROM flagged""",
+    "plans_for_one_query": """
+SELECT query_hash, t.text, p.query_plan, execution_count, total_worker_time // 1000 AS total_worker_time,
+       total_logical_reads, total_grant_kb // 1024 AS "total_grant_MB", total_spills
+FROM query_stats s LEFT JOIN texts t ON t.sql_handle = s.sql_handle
+LEFT JOIN plans p ON p.plan_handle = s.plan_handle WHERE query_hash = 7""",
+    "plan_divergence_binary": f"""
+SELECT sql_handle, plan_handle <> other_plan AS has_other_plans,
+       if(plan_handle = other_plan, '{SINGLE_PLAN}', '{DRILL_DOWN}' || concat('X', chr(39), upper(md5(CAST(query_hash AS VARCHAR))), chr(39))) AS diagnosis_query FROM stats""",
+    "with_defaults_now": "SELECT task_id, stage, 36 AS key_length, true AS is_recent FROM tasks",
     "chain_roots": """
 WITH edges AS (SELECT DISTINCT session_id, nullif(blocking_session_id, 0) AS blocker FROM snap),
 chain_walk AS (

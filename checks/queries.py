@@ -587,6 +587,92 @@ def locking_report_login(t):
     return _report_text(t, "DETAILED", login="Customer#000000010", system_databases=True, system_sessions=True)
 
 
+# -------------------------------------------------------------------------------------------------- fleets
+
+
+@query("wait_delta_fleet")
+def wait_delta_fleet(t):
+    """Servers report once a day; the last report of each server and wait type counts on either side."""
+    events = t.table("events")
+
+    def side(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(
+            F.concat(F.lit("srv"), (F.col("user_id") % 7).cast("string")).alias("server_id"),
+            F.date_trunc("DAY", "ts").cast("timestamp_ntz").alias("captured_at"),
+            F.col("event_type").alias("wait_type"),
+        ).agg(
+            F.sum(F.floor(F.col("value") * 1000).cast("bigint")).alias("wait_time_ms"),
+            F.sum(F.floor(F.col("value") * 100).cast("bigint")).alias("signal_wait_time_ms"),
+            F.count(F.lit(1)).alias("waiting_tasks_count"),
+        )
+
+    return fv.wait_delta(side(events.where("ts < timestamp_ntz'2024-01-15 00:00:00'")), side(events))
+
+
+@query("query_rollup_fleet")
+def query_rollup_fleet(t):
+    """A server per return flag, a capture per year of shipping."""
+    lines = t.table("lineitem")
+    time, reads, grant = F.floor("l_extendedprice").cast("bigint"), F.floor("l_quantity").cast("bigint"), F.col("l_suppkey")
+    stats = lines.groupBy(
+        F.col("l_returnflag").alias("server_id"),
+        F.date_trunc("YEAR", "l_shipdate").cast("timestamp_ntz").alias("captured_at"),
+        F.col("l_partkey").alias("query_hash"),
+        (F.col("l_suppkey") % 5).alias("sql_handle"),
+        F.col("l_linenumber").cast("bigint").alias("plan_handle"),
+    ).agg(
+        F.count(F.lit(1)).alias("execution_count"),
+        F.sum(time).alias("total_worker_time"),
+        F.min(time).alias("min_worker_time"),
+        F.max(time).alias("max_worker_time"),
+        F.sum(reads).alias("total_logical_reads"),
+        F.min(reads).alias("min_logical_reads"),
+        F.max(reads).alias("max_logical_reads"),
+        F.sum(grant).alias("total_grant_kb"),
+        F.min(grant).alias("min_grant_kb"),
+        F.max(grant).alias("max_grant_kb"),
+        F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("total_spills"),
+    )
+    kept = ["server_id", "captured_at", "query_hash", "sql_handle", "execution_count", "total_worker_time", "max_worker_time", "min_worker_time"]
+    return fv.rollup_query_stats(stats).select(*kept, "total_logical_reads", "plan_handle", "other_plan")
+
+
+@query("index_usage_fleet")
+def index_usage_fleet(t):
+    """With the database each index is in."""
+    return fv.index_usage(t.index_usage, t.indexes, t.objects, t.schemas)
+
+
+def _fleet_snapshot(t: Telemetry) -> DataFrame:
+    """The same sessions on two servers: what is locked decides which server a lock row is of."""
+    server = F.when(F.col("hobt_id") % 2 == 0, F.lit("even")).otherwise(F.lit("odd"))
+    return _snapshot(t).withColumn("server_id", server)
+
+
+@query("session_overview_fleet")
+def session_overview_fleet(t):
+    snapshot = _fleet_snapshot(t)
+    return fv.session_overview(snapshot, fv.contention(snapshot).holders, t.active_snapshot_tx)
+
+
+@query("lock_details_fleet")
+def lock_details_fleet(t):
+    snapshot = _fleet_snapshot(t)
+    return fv.lock_details(snapshot, fv.contention(snapshot, stored=True))
+
+
+@query("plans_for_one_query")
+def plans_for_one_query(t):
+    return fv.plans_for_query(t.query_stats, t.sql_text, t.query_plans, query_hash=7)
+
+
+@query("plan_divergence_binary")
+def plan_divergence_binary(t):
+    """Query hashes are bytes, as servers give them."""
+    stats = t.query_stats.withColumn("query_hash", F.unhex(F.md5(F.col("query_hash").cast("string"))))
+    return fv.plan_divergence(fv.rollup_query_stats(stats)).drop("query_hash")
+
+
 # ------------------------------------------------------------------------------------------------- tables
 
 
@@ -658,6 +744,15 @@ def with_defaults(t):
     )
 
 
+@query("with_defaults_now")
+def with_defaults_now(t):
+    """Without a given time the present one is filled in."""
+    filled = fv.with_defaults(t.tasks.select("task_id", "stage"))
+    now = F.current_timestamp()
+    recent = F.col("valid_to").cast("timestamp").between(now - F.expr("INTERVAL 1 HOUR"), now)
+    return filled.select("task_id", "stage", F.length("uuid").alias("key_length"), recent.alias("is_recent"))
+
+
 @query("top_k")
 def top_k(t):
     return fv.top_k(t.sequence, ["d", "i"])

@@ -195,7 +195,8 @@ def counter_deltas(
     rows = rows.where(F.col("_bucket").isNotNull())
     in_bucket = Window.partitionBy(*keys, "_bucket").orderBy(time, *counters)
     inner = rows.withColumn("_was", F.lag(state).over(in_bucket))
-    last = rows.groupBy(*keys, "_bucket").agg(F.max(state).alias("_last"))
+    # the last capture of a bucket is the one that nothing follows; no payload goes through an aggregate
+    last = rows.withColumn("_next", F.lead(time).over(in_bucket)).where("_next IS NULL").select(*keys, "_bucket", state.alias("_last"))
     carried = last.select(
         *[F.col(c).alias(f"_of_{c}") for c in [*keys, "_bucket"]], F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetvitals.functions import SERVER_SCOPE, scope_of
@@ -44,29 +44,31 @@ def apply_events(ledger: DataFrame, events: DataFrame, strict_reference: bool =
     bottleneck.  ``strict_reference=True`` applies a failure to every entry, not only to its own job.
     """
     keys = [*scope_of(ledger, events, names=SERVER_SCOPE), "dbName"]
-    outcome = F.col("event").isin("succeeded", "failed")
-    failed = F.col("event") == "failed"
-    code = F.when(failed, F.lit(FAILED)).otherwise(F.lit(SUCCEEDED))
-    result = F.struct(F.col("event_dt").alias("at"), code.alias("code"))
-    failure = F.struct(F.col("event_dt").alias("at"), F.col("error_msg").alias("message"))
-    last = events.groupBy(*keys).agg(
-        F.max(F.when(F.col("event") == "started", F.col("event_dt"))).alias("_started"),
-        F.max(F.when(outcome, result)).alias("_outcome"),
-        F.max(F.when(failed, failure)).alias("_failure"),
-    )
-    met = ledger.join(last, keys, "left")
-    message = F.when(F.col("_failure").isNotNull(), F.col("_failure.message")).otherwise(F.col("error_msg"))
+
+    def at(kind: str) -> Column:
+        return F.max(F.when(F.col("event") == kind, F.col("event_dt")))
+
+    # instants are of fixed width, so these maxima are kept in hash tables and nothing is sorted
+    last = events.groupBy(*keys).agg(at("started").alias("_started"), at("succeeded").alias("_succeeded"), at("failed").alias("_failed"))
+    failed = events.where("event = 'failed'").select(*keys, F.col("event_dt").alias("_failed"), F.col("error_msg").alias("_message"))
     if strict_reference:
-        spread = events.where(failed).agg(F.max(failure).alias("_spread")).scalar()
-        met = met.withColumn("_spread", spread)
-        forced = F.struct(F.col("_spread.at").alias("at"), F.lit(FAILED).alias("code"))
-        met = met.withColumn("_outcome", F.greatest("_outcome", F.when(F.col("_spread").isNotNull(), forced)))
-        message = F.when(F.col("_spread").isNotNull(), F.col("_spread.message")).otherwise(F.col("error_msg"))
+        newest = failed.agg(F.max("_failed").alias("_newest"))
+        messages = failed.join(F.broadcast(newest), F.col("_failed") == F.col("_newest")).agg(F.max(F.struct("_failed", "_message")).alias("_spread"))
+        met = ledger.join(last, keys, "left").withColumn("_spread", messages.scalar())
+        met = met.withColumns({"_message": F.col("_spread._message"), "_failed": F.greatest("_failed", "_spread._failed")})
+    else:
+        # the message of the last failure comes by its instant; several at one instant are few, the greatest counts
+        shown = last.where("_failed IS NOT NULL").join(failed, [*keys, "_failed"])
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_message")))
+        shown = shown.withColumn("_rank", rank).where("_rank = 1").select(*keys, "_message")
+        met = ledger.join(last, keys, "left").join(shown, keys, "left")
+    code = F.when(F.col("_failed") >= F.coalesce("_succeeded", "_failed"), F.lit(FAILED)).when(F.col("_succeeded").isNotNull(), F.lit(SUCCEEDED))
+    message = F.when(F.col("_failed").isNotNull(), F.col("_message")).otherwise(F.col("error_msg"))
     types = dict(ledger.dtypes)
     changed = {
-        "processed": F.coalesce("_outcome.code", "processed").cast(types["processed"]),
+        "processed": F.coalesce(code, "processed").cast(types["processed"]),
         "start_dt": F.coalesce("_started", "start_dt"),
-        "finish_dt": F.coalesce("_outcome.at", "finish_dt"),
+        "finish_dt": F.coalesce(F.greatest("_succeeded", "_failed"), "finish_dt"),
         "error_msg": message,
     }
     return met.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in ledger.columns])

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetvitals.functions import CATALOG_SCOPE, half_up, scope_of
@@ -90,6 +90,12 @@ def _same(columns: Sequence[str]) -> Column:
     return test
 
 
+def _least(rows: DataFrame, key: Sequence[str], name: str) -> DataFrame:
+    """The least non-null ``name`` of every key, by rank: tasks cut their part to one row per key, and no text is aggregated."""
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(name).asc_nulls_last()))
+    return rows.select(*key, name).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
 def _is_granted() -> Column:
     return F.col("request_status") == GRANTED
 
@@ -115,7 +121,7 @@ def resolve_names(locks: DataFrame, partitions: DataFrame, objects: DataFrame, f
     )
     scope = scope_of(locks, partitions, objects)
     key = [*scope, "database_id", "_by_object", "_id"]
-    names = by_object.unionByName(by_partition).groupBy(*key).agg(F.min("name").alias("_found"))
+    names = _least(by_object.unionByName(by_partition), key, "name").withColumnRenamed("name", "_found")
 
     kind = F.col("resource_type")
     looked_up = (kind == "OBJECT") | kind.isin(*NAMED_BY_PARTITION)
@@ -140,9 +146,8 @@ def session_profiles(
     """Sessions with their request state and last query text."""
     scope = scope_of(sessions)
     text_scope = scope_of(connections, sql_text)
-    texts = sql_text.groupBy(*text_scope, F.col("sql_handle").alias("most_recent_sql_handle")).agg(
-        F.min("text").alias("text")
-    )
+    handles = sql_text.select(*text_scope, F.col("sql_handle").alias("most_recent_sql_handle"), "text")
+    texts = _least(handles, [*text_scope, "most_recent_sql_handle"], "text")
     conn = connections.select(*scope_of(connections), "session_id", "most_recent_sql_handle").join(
         texts, [*text_scope, "most_recent_sql_handle"], "left"
     )

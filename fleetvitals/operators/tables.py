@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetvitals.functions import fixed_width
-from fleetvitals.plans import first_rows, number_any
-from fleetvitals.plans.first_rows import GROUPS
+from fleetvitals.plans import durable, first_rows, number_any
 
 # Rows of the generator, stages of a task, sample sizes and rounds (fixed values).
 TASKS = 4096
@@ -115,50 +114,55 @@ def delete_expired(
     return delete_where(df, F.col(column) >= bound.cast(dict(df.dtypes)[column]))
 
 
-def _drawn(keys: DataFrame, key: str, n: int, within: Sequence[str] = ("_round",)) -> DataFrame:
+def _drawn(keys: DataFrame, key: str, n: int) -> DataFrame:
     """The first ``n`` keys of every round.  Each task cuts its part to ``n`` per round before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(*within).orderBy("_order", key))
+    rank = F.row_number().over(Window.partitionBy("_round").orderBy("_order", key))
     return keys.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
+def _low_keys(keys: DataFrame, key: str, rounds: int, n: int, share: int) -> DataFrame:
+    """(key, ``_round``, ``_order``) of the keys that can be among the ``n`` lowest of a round.
+
+    A row looks at its place in all rounds at once and leaves only those below a bound, so it isn't repeated for every
+    round.  Orders are spread evenly, so a bound some deviations above n of all rows holds ``n`` keys of every round
+    almost always; where a round has fewer, the bound is raised, until it holds all rows.  ``share`` divides the first bound.
+    """
+    rows = keys.count()
+    bounded = (n + 8 * n**0.5 + 32) / max(rows, 1) / share
+
+    def place(round_: Column) -> Column:
+        return F.md5(F.concat(round_.cast("string"), F.lit(":"), F.col(key).cast("string")))
+
+    everything = F.sequence(F.lit(1), F.lit(rounds))
+    while True:
+        low = everything
+        if bounded < 1:
+            bound = f"{int(bounded * 16**12):012x}"
+            low = F.filter(everything, lambda round_: place(round_) < bound)
+        found = durable(keys.select(key, F.explode(low).alias("_round")).withColumn("_order", place(F.col("_round"))))
+        full = found.groupBy("_round").count().where(F.col("count") >= n)
+        if bounded >= 1 or full.count() == rounds:
+            return found
+        bounded *= 4
+
+
 def repeat_update(
     df: DataFrame,
     key: str = "uuid",
     column: str = "stage",
     rounds: int = ROUNDS,
     n: int = ROUND_SAMPLE,
-    share: int = 64,
+    share: int = 1,
 ) -> DataFrame:
     """``rounds`` times: sample ``n`` keys, then add one to ``column`` for them.  One pass over the table.
 
     The samples do not depend on the updated column, so all rounds are drawn at once and a row gains the
-    number of rounds that drew it.
-
-    A round draws its ``n`` lowest keys in that round's order.  To rank few rows, one key in ``share`` is
-    drawn from first: the last key drawn there is no lower than the last key of the whole draw, so keys
-    beyond it are dropped before ranking.  That first draw goes through groups of input tasks, so no task
-    receives ``n`` keys from every input task.  A round whose share has fewer than ``n`` keys drops none, and
-    the result is the same with any ``share``.
+    number of rounds that drew it.  A round draws its ``n`` lowest keys in that round's order; what can be among
+    them is found without repeating the rows (``_low_keys``) and holds little more than ``n`` keys a round.  The result
+    is the same with any ``share``, which makes the first bound narrower.
     """
-    round_ = F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_round")
-    order = F.md5(F.concat(F.col("_round").cast("string"), F.lit(":"), F.col(key).cast("string")))
-
-    def numbered(keys: DataFrame) -> DataFrame:
-        return keys.select(key, round_).withColumn("_order", order)
-
     keys = df.select(key).where(F.col(key).isNotNull())
-    part = keys.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0)
-    grouped = numbered(part).withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
-    cuts = (
-        _drawn(_drawn(grouped, key, n, ["_round", "_group"]), key, n)
-        .groupBy("_round")
-        .agg(F.max("_order").alias("_cut"), F.count(F.lit(1)).alias("_found"))
-        .where(F.col("_found") == n)
-        .select("_round", "_cut")
-    )
-    left = numbered(keys).join(cuts, "_round", "left")
-    left = left.where(F.col("_cut").isNull() | (F.col("_order") <= F.col("_cut")))
-    hits = _drawn(left, key, n).groupBy(key).agg(F.count(F.lit(1)).alias("_hits"))
+    hits = _drawn(_low_keys(keys, key, rounds, n, share), key, n).groupBy(key).agg(F.count(F.lit(1)).alias("_hits"))
     type_ = dict(df.dtypes)[column]
     met = df.join(hits, key, "left")
     gained = (F.col(column) + F.coalesce(F.col("_hits"), F.lit(0))).cast(type_)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetvitals.functions import CATALOG_SCOPE, div, half_up, scope_of, trimmed_mean
@@ -81,9 +81,10 @@ def _lookup(
     keys = [*scope_of(rows, table), on]
     if handles is not None:
         table = table.join(handles.select(*keys), keys, "left_semi")
-    first = table.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("_hit"))
-    first = first.select(*keys, *[F.col(f"_hit.{c}").alias(name) for c, name in columns.items()])
-    return rows.join(first, keys, "left")
+    # texts and plans go through no aggregate: the first row is found by rank, cut to one per key in every task
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*columns))
+    first = table.withColumn("_rank", rank).where("_rank = 1")
+    return rows.join(first.select(*keys, *[F.col(c).alias(name) for c, name in columns.items()]), keys, "left")
 
 
 def _with_text(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,21 +12,28 @@ from pyspark.sql import functions as F
 from fleetvitals.plans.durable import durable
 
 
+def _offsets(counts: DataFrame, dealt: str, within: Sequence[str], total: str) -> DataFrame:
+    """Rows of a group before each part, and in all, from one count per part and group."""
+    if within:
+        group = Window.partitionBy(*within)
+        before = F.sum("_n").over(group.orderBy(dealt).rowsBetween(Window.unboundedPreceding, -1))
+        return counts.select(dealt, *within, F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(group).alias(total))
+    # without groups there is one count per task, so as many numbers as Spark itself keeps for a stage
+    parts = sorted((row[dealt], row["_n"]) for row in counts.collect())
+    ends = list(accumulate(n for _, n in parts))
+    rows = [(part, end - n, ends[-1]) for (part, n), end in zip(parts, ends, strict=True)]
+    kind = dict(counts.dtypes)[dealt]
+    return counts.sparkSession.createDataFrame(rows, f"{dealt} {kind}, _before bigint, `{total}` bigint")
+
+
 def _prefix_sums(rows: DataFrame, dealt: str, within: Sequence[str], name: str, total: str) -> DataFrame:
     """Rows with ``_local``, their number in (part, group), turned into ``name``, their number in the group."""
     counts = rows.groupBy(dealt, *within).agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*within) if within else Window.partitionBy()
-    before = group.orderBy(dealt).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col(dealt).alias("_part_of"),
-        *(F.col(c).alias(f"_of_{i}") for i, c in enumerate(within)),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(group).alias(total),
-    )
-    same = [F.col(dealt) == F.col("_part_of"), *(F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(within))]
+    keys = [dealt, *within]
+    offsets = _offsets(counts, dealt, within, total).withColumnsRenamed({c: f"_of_{i}" for i, c in enumerate(keys)})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(keys)]
     met = rows.join(offsets, reduce(lambda a, b: a & b, same))
-    gone = ["_part_of", "_before", "_local", dealt, *(f"_of_{i}" for i in range(len(within)))]
-    return met.withColumn(name, F.col("_before") + F.col("_local")).drop(*gone)
+    return met.withColumn(name, F.col("_before") + F.col("_local")).drop("_before", "_local", dealt, *(f"_of_{i}" for i in range(len(keys))))
 
 
 def number_rows(

@@ -29,9 +29,17 @@ def append_snapshot(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
-def write_snapshot(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Store a tagged snapshot; one folder per tag, so a later read of one tag skips the others."""
-    df.write.mode(mode).partitionBy("snapshot_id").parquet(path)
+def write_snapshot(df: DataFrame, path: str, mode: str = "replace") -> None:
+    """Store a tagged snapshot; one folder per tag, so a later read of one tag skips the others.
+
+    ``'replace'`` overwrites the folders of the tags that the frame holds and leaves the others, so a snapshot that
+    is written again counts once.  Other modes are Spark's own; ``'append'`` adds rows to a tag.
+    """
+    writer = df.write.partitionBy("snapshot_id")
+    if mode == "replace":
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        writer.mode(mode).parquet(path)
 
 
 def load_or_build(
