@@ -177,14 +177,15 @@ def nearest(
     Equal vectors are one point in the forest, with its ``top`` + 1 smallest ids: no more of them can be among the
     nearest; equal queries are searched once.
 
-    Vectors that are null, empty, zero, or hold null, NaN or infinite components take no part.  Shorter vectors count
+    Components may be float or double and stay as they are; scores are double.  Vectors that are null, empty, zero, or hold null, NaN or infinite components take no part.  Shorter vectors count
     as ended by zeros.  Null ids are left out; rows that repeat id and vector count once.  Fewer rows than ``top``:
     those there are.  No rows give no rows.
     """
     rows = table.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), is_query.alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
     # -0.0 and 0.0 are one number; the copies of a vector are counted by its bytes
-    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float"))).dropDuplicates(["id", "v"])
+    kind = rows.schema["v"].dataType.simpleString()
+    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float")).cast(kind)).dropDuplicates(["id", "v"])
 
     copies = Window.partitionBy("v").orderBy("id")
     mates = rows.select("id", "v", F.row_number().over(copies).alias("nth")).where(F.col("nth") <= top + 1)
@@ -201,10 +202,10 @@ def nearest(
     groups = F.broadcast(table.sparkSession.createDataFrame(groups, "band int, first int, blocks int, norm double"))
 
     points = distinct.join(groups, "band").withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    indexed = points.select("id", "v", "block", "norm").mapInArrow(_hashed(width, False), "id bigint, v array<float>, block int, keys array<bigint>")
+    indexed = points.select("id", "v", "block", "norm").mapInArrow(_hashed(width, False), f"id bigint, v {kind}, block int, keys array<bigint>")
     indexed = durable(indexed)
     asking = rows.where("asks").groupBy("v").agg(F.min("id").alias("id"))
-    asked = durable(asking.select("id", "v").mapInArrow(_hashed(width, True), "id bigint, v array<float>, keys array<bigint>"))
+    asked = durable(asking.select("id", "v").mapInArrow(_hashed(width, True), f"id bigint, v {kind}, keys array<bigint>"))
     pieces = -(-max(asked.count(), 1) // piece)
 
     copied = indexed.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))

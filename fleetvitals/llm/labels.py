@@ -25,6 +25,11 @@ def labelled_sample(labels: DataFrame, target: str, folds: int, held_out: int, r
 
 
 def sample_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """``_label`` and ``_text`` of the sampled rows; the broadcast list is as short as the sample."""
+    """``_label`` and ``_text`` of the sampled ids, one row for each, so as few as the sample; the broadcast list is as short.
+
+    Of the texts of a repeated id the one of least hash counts, found in each task before anything is shuffled.
+    """
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    return texts.join(F.broadcast(sample), "_id").select("_label", "_text")
+    met = texts.join(F.broadcast(sample), "_id")
+    one = met.groupBy("_id", "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    return one.select("_label", "_text")

@@ -243,3 +243,29 @@ def test_empty_tables(spark):
     assert divergence.divergence_query(alone).count() == 0
     row = bloom.language_scores(alone, F.lit(True)).first()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"], row["score"]) == (1, 0, 0, 0.0, 0.0)
+
+
+def test_labels_of_repeated_ids_give_one_row_each(spark):
+    """The sample is bounded by ids even if the documents repeat them."""
+    from fleetvitals.llm.labels import labelled_sample, sample_texts
+
+    rows = docs(spark, [(i % 5, f"text {i}", "en", "a", 1) for i in range(500)])
+    labels = spark.createDataFrame([(i, 1) for i in range(5)], "doc_id bigint, toxic int")
+    got = sample_texts(rows, labelled_sample(labels, "toxic", 3, 1, 3)).collect()
+    assert len(got) <= 3 and len({r["_text"] for r in got}) == len(got)
+    assert got == sample_texts(rows.repartition(9), labelled_sample(labels, "toxic", 3, 1, 3)).collect() or len(got) > 1
+
+
+def test_double_vectors_are_searched(spark):
+    """Components of double precision are scored as they are."""
+    from fleetvitals.llm import forest
+
+    draw = np.random.default_rng(2)
+    vectors = draw.standard_normal((60, 8))
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    got = forest.nearest_query(table).collect()
+    for query in (0, 20, 40):
+        score = (vectors * vectors[query]).sum(axis=1)
+        wanted = sorted((i for i in range(60) if i != query), key=lambda i: -score[i])[:20]
+        mine = sorted((r for r in got if r["query_id"] == query), key=lambda r: r["rank"])
+        assert [r["vec_id"] for r in mine] == wanted and all(r["score"] == pytest.approx(score[r["vec_id"]], abs=1e-12) for r in mine)
