@@ -24,7 +24,9 @@ def delta_stream(
     has passed them, and then leave in time order.  The state of a key is its last emitted capture plus
     the captures of the last ``delay``.  The first capture of a key gives no row.
 
-    The counters are whole numbers, NULL counting as zero.  Output mode is append; ``mode`` is as for ``counter_deltas``.
+    The counters are whole numbers; a change from or to NULL is NULL, and of captures at one instant NULL comes first, as in
+    ``counter_deltas``, whose ``mode`` this has too.  Output mode is append.  Captures behind the watermark are dropped;
+    ``delta_sink`` keeps them.
     """
     if mode not in ("signed", "abs", "null"):
         raise ValueError("mode must be signed, abs or null")
@@ -39,7 +41,7 @@ def delta_stream(
         + [T.StructField("from_time", T.TimestampType()), T.StructField(time, T.TimestampType())]
         + [T.StructField(f"{c}_delta", T.LongType()) for c in counters]
     )
-    # instants are microseconds; captures are kept as flat runs of (instant, counters...)
+    # instants are microseconds; captures are kept as flat runs of (instant, then for each counter: there, value)
     state_type = T.StructType(
         [
             T.StructField("last", T.ArrayType(T.LongType())),
@@ -51,12 +53,12 @@ def delta_stream(
         import numpy as np
         import pandas as pd
 
-        width = 1 + len(counters)
+        width = 1 + 2 * len(counters)
         last, flat = ([], []) if not state.exists else (list(state.get[0]), list(state.get[1]))
         rows = [tuple(flat[i : i + width]) for i in range(0, len(flat), width)]
         for frame in frames:
             instants = pd.DatetimeIndex(frame[time]).as_unit("us").asi8
-            columns = [frame[c].tolist() for c in counters]
+            columns = [frame[f"{part}{c}"].tolist() for c in counters for part in ("_there_", "")]
             rows.extend(zip(instants.tolist(), *columns, strict=True))
         rows.sort()
         ready_until = state.getCurrentWatermarkMs() * 1000
@@ -76,18 +78,22 @@ def delta_stream(
             columns = {name: [value] * len(emitted) for name, value in zip(keys, key, strict=True)}
             for name, side in (("from_time", old), (time, new)):
                 columns[name] = pd.DatetimeIndex(side[:, 0].astype("datetime64[us]")).tz_localize("UTC")
-            for i, name in enumerate(counters, 1):
-                change = new[:, i] - old[:, i]
-                if mode == "abs":
-                    change = abs(change)
-                elif mode == "null":
-                    change = pd.array(change, dtype="Int64")
-                    change[change < 0] = pd.NA
-                columns[f"{name}_delta"] = change
+            for i, name in enumerate(counters):
+                change = new[:, 2 * i + 2] - old[:, 2 * i + 2]
+                known = (new[:, 2 * i + 1] == 1) & (old[:, 2 * i + 1] == 1)
+                if mode == "null":
+                    known &= change >= 0
+                columns[f"{name}_delta"] = pd.arrays.IntegerArray(abs(change) if mode == "abs" else change, ~known)
             yield pd.DataFrame(columns)
 
     return (
-        stream.select(*keys, time, *[F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(c) for c in counters])
+        stream.select(
+            *keys,
+            time,
+            # numbers without NULL stay whole numbers on their way
+            *[F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(c) for c in counters],
+            *[F.col(c).isNotNull().cast("bigint").alias(f"_there_{c}") for c in counters],
+        )
         .withWatermark(time, delay)
         .groupBy(*keys)
         .applyInPandasWithState(update, output, state_type, "append", GroupStateTimeout.EventTimeTimeout)
