@@ -6,6 +6,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import public_tokenizers
 import pyarrow as pa
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 # Bounds on what a Python worker remembers; beyond them it starts anew, with the same results.
-MEMORY_STATES = 130_000
-MEMORY_PIECES = 100_000
+MEMORY_STATES = 200_000
+MEMORY_PIECES = 160_000
 LONGEST_REMEMBERED = 64
 
 
@@ -133,7 +134,7 @@ class MergeTransducer:
         return known
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        children, tokens = self.children, self.token
+        children, tokens, stays = self.children, self.token, self._stay.get
         walks, ended = [], None
         for waiting, last, node in self._states[state]:
             following = children[node].get(byte)
@@ -142,9 +143,11 @@ class MergeTransducer:
             if children[following]:
                 walks.append((waiting, last, following))
             token = tokens[following]
-            if token >= 0 and ended is None and self._neighbours(last, token):
-                # the one encoding of what has been read
-                ended = ((*waiting, token), token, 0)
+            if token >= 0 and ended is None:
+                stay = stays((last, token))
+                if self._neighbours(last, token) if stay is None else stay:
+                    # the one encoding of what has been read
+                    ended = ((*waiting, token), token, 0)
         # walks stay in the order of where their open token began, so equal sets are equal tuples
         if ended:
             walks.append(ended)
@@ -240,6 +243,11 @@ class Codec:
             ids += found if found is not None else self._piece(piece)
         return ids
 
+    def _word(self, word: str) -> tuple[int, ...]:
+        """A word and the space before it."""
+        found = self.words.get(word)
+        return self._remember(self.words, word, tuple(self._pieces(f" {word}"))) if found is None else found
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text.
 
@@ -256,16 +264,18 @@ class Codec:
             if i:
                 ids += self.line_break
             ids += self._pieces(row[0])
-            for word in row[1:]:
-                found = known(word)
-                ids += found if found is not None else self._remember(self.words, word, tuple(self._pieces(f" {word}")))
+            rest = row[1:]
+            found = list(map(known, rest))
+            if None in found:
+                found = [ids_ if ids_ is not None else self._word(word) for word, ids_ in zip(rest, found, strict=True)]
+            ids += chain.from_iterable(found)
         return ids
 
     def decode(self, ids: Iterable[int], portion: int = 4096) -> Iterator[str]:
         """Text of the ids in portions, each complete characters."""
         stream, data, ids = Utf8Stream(), self.transducer.data, list(ids)
         for start in range(0, len(ids), portion):
-            yield stream.feed(b"".join([data[i] for i in ids[start : start + portion]]))
+            yield stream.feed(b"".join(map(data.__getitem__, ids[start : start + portion])))
         yield stream.close()
 
 
@@ -328,7 +338,7 @@ def _digests(path: str, pattern: str):
                 for text in part.column(1).fill_null("").to_pylist():
                     ids = coder.encode(text)
                     counts.append(len(ids))
-                    ids_sums.append(hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest())
+                    ids_sums.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
                     whole = hashlib.sha256()
                     for piece in coder.decode(ids):
                         whole.update(piece.encode())
