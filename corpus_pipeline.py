@@ -50,7 +50,7 @@ STAGES = [
     ("tokenize", tokenize),
 ]
 
-# A trained classifier and a tokenizer are no SQL; tests hold the stages against brute force.
+# A trained classifier and a tokenizer are no SQL; tests/llm/test_whole.py holds the rows against a plain-Python chain.
 ORACLE_SQL = None
 
 
