@@ -680,7 +680,26 @@ _FLEET_PAIRS = """fleet_pairs AS (SELECT g.server_id, g.session_id AS holder, w.
   FROM fleet_snap g JOIN fleet_snap w ON g.server_id = w.server_id AND g.session_id = w.blocking_session_id AND g.db_name = w.db_name
    AND g.hobt_id = w.hobt_id AND g.object_name = w.object_name AND g.resource_description = w.resource_description AND g.session_id <> w.session_id)"""
 
+_HISTORY_MODE = """
+SELECT wait_type, from_time, captured_at, {ms} AS wait_time_ms_delta, {n} AS waiting_tasks_count_delta FROM (
+  SELECT wait_type, lag(captured_at) OVER w AS from_time, captured_at, wait_time_ms - lag(wait_time_ms) OVER w AS ms,
+         waiting_tasks_count - lag(waiting_tasks_count) OVER w AS n
+  FROM wait_history WINDOW w AS (PARTITION BY wait_type ORDER BY captured_at))
+WHERE from_time IS NOT NULL"""
+
 ORACLE |= {
+    "counter_history_delta_abs": _HISTORY_MODE.format(ms="abs(ms)", n="abs(n)"),
+    "counter_history_delta_null": _HISTORY_MODE.format(ms="CASE WHEN ms >= 0 THEN ms END", n="CASE WHEN n >= 0 THEN n END"),
+    "wait_delta_reset_null": """
+SELECT wait_type, CASE WHEN NOT back THEN t END AS wait_time_ms, CASE WHEN NOT back THEN s END AS signal_wait_time_ms,
+       CASE WHEN NOT back THEN n END AS wait_count
+FROM (SELECT *, least(t, s, n) < 0 AS back FROM (
+  SELECT wait_type, ifnull(b.wait_time_ms, 0) - ifnull(a.wait_time_ms, 0) AS t, ifnull(b.signal_wait_time_ms, 0) - ifnull(a.signal_wait_time_ms, 0) AS s,
+         ifnull(b.waiting_tasks_count, 0) - ifnull(a.waiting_tasks_count, 0) AS n
+  FROM active_before b FULL JOIN active_after a USING (wait_type)))
+WHERE back OR n > 0""",
+    "block_join_grid": """
+SELECT c_nationkey AS nation, c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey""",
     "wait_delta_fleet": f"""
 WITH b AS ({_FLEET_WAITS.format(period="ts < TIMESTAMP '2024-01-15'")}), a AS ({_FLEET_WAITS.format(period="true")})
 SELECT * FROM (SELECT server_id, wait_type, abs(ifnull(a.t, 0) - ifnull(b.t, 0)) AS wait_time_ms, abs(ifnull(a.s, 0) - ifnull(b.s, 0)) AS signal_wait_time_ms,

@@ -145,6 +145,23 @@ def counter_history_delta(t):
     return fv.counter_deltas(t.wait_history, ["wait_type"], ["wait_time_ms", "waiting_tasks_count"])
 
 
+@query("counter_history_delta_abs")
+def counter_history_delta_abs(t):
+    return fv.counter_deltas(t.wait_history, ["wait_type"], ["wait_time_ms", "waiting_tasks_count"], mode="abs")
+
+
+@query("counter_history_delta_null")
+def counter_history_delta_null(t):
+    """A counter that went back gives NULL."""
+    return fv.counter_deltas(t.wait_history, ["wait_type"], ["wait_time_ms", "waiting_tasks_count"], mode="null", bucket_seconds=3600 * 6)
+
+
+@query("wait_delta_reset_null")
+def wait_delta_reset_null(t):
+    """The captures the other way round, as after a restart: changes that went back are unknown."""
+    return fv.wait_delta(fv.active_waits(t.waits_after, t.ignored), fv.active_waits(t.waits_before, t.ignored), reset="null")
+
+
 @query("delta_stream")
 def delta_stream(t):
     """Runs the stream over all there is, into a table in the work folder, and reads the table."""
@@ -395,6 +412,14 @@ def wait_pairs_blocker(t):
     return fv.wait_pairs(_snapshot(t), "blocker")
 
 
+@query("block_join_grid")
+def block_join_grid(t):
+    """Customers and suppliers of a nation: every nation fills several blocks on a side, so the grid of blocks runs."""
+    customers = t.table("customer").select(F.col("c_nationkey").alias("nation"), "c_custkey")
+    suppliers = t.table("supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey")
+    return fv.block_join(customers, suppliers, ["nation"], block_rows=3)
+
+
 @query("wait_pair_report")
 def wait_pair_report(t):
     return fv.wait_pair_report(fv.wait_pairs(_snapshot(t), "blocker"), "blocker")
