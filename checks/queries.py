@@ -520,10 +520,10 @@ def chain_roots(t):
 
 def _circles(t: Telemetry) -> DataFrame:
     """Each customer waits for another, most of them in the end for a circle; one segment waits for nobody."""
-    key, most = F.col("c_custkey"), t.table("customer").agg(F.max("c_custkey").alias("_most"))
-    number = (key * 7919 + F.col("c_nationkey") * 104729) % F.col("_most") + 1
+    key, most = F.col("c_custkey"), t.table("customer").agg(F.max("c_custkey")).scalar()
+    number = (key * 7919 + F.col("c_nationkey") * 104729) % most + 1
     blocker = F.when(F.col("c_mktsegment") != "MACHINERY", number)
-    return t.table("customer").crossJoin(F.broadcast(most)).select(key.alias("session_id"), blocker.alias("blocking_session_id"))
+    return t.table("customer").select(key.alias("session_id"), blocker.alias("blocking_session_id"))
 
 
 @query("chain_roots_circles")
