@@ -15,9 +15,10 @@ from fleetvitals.plans.durable import durable
 def _offsets(counts: DataFrame, dealt: str, within: Sequence[str], total: str) -> DataFrame:
     """Rows of a group before each part, and in all, from one count per part and group."""
     if within:
-        group = Window.partitionBy(*within)
-        before = F.sum("_n").over(group.orderBy(dealt).rowsBetween(Window.unboundedPreceding, -1))
-        return counts.select(dealt, *within, F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(group).alias(total))
+        group = Window.partitionBy(*within).orderBy(dealt)
+        before = F.sum("_n").over(group.rowsBetween(Window.unboundedPreceding, -1))
+        whole = F.sum("_n").over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        return counts.select(dealt, *within, F.coalesce(before, F.lit(0)).alias("_before"), whole.alias(total))
     # without groups there is one count per task, so as many numbers as Spark itself keeps for a stage
     parts = sorted((row[dealt], row["_n"]) for row in counts.collect())
     ends = list(accumulate(n for _, n in parts))
