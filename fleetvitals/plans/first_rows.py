@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
-# Groups of input tasks whose draws are merged first.
-GROUPS = 1024
-
 
 def first_rows(df: DataFrame, order: list[Column | str], k: int) -> DataFrame:
     """The first ``k`` rows by ``order``, by the same plan for every ``k``.
