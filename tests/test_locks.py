@@ -5,9 +5,11 @@ from collections import Counter
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 import fleetvitals as fv
 from fleetvitals.operators.locks import PAIR_COLUMNS, SNAPSHOT_COLUMNS
+from fleetvitals.plans import skew
 
 SNAP = (
     "db_name string, resource_type string, resource_description string, hobt_id long, object_name string,"
@@ -110,6 +112,20 @@ def test_block_join_equals_plain_join(spark, block_rows):
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, left.join(right, "k").collect()))
 
 
+def test_block_join_copies_are_bounded(spark):
+    """Many more blocks than tasks: rows are copied by the number of tasks, not by the rows of the other side."""
+    left = spark.range(900).select((F.col("id") % 3).alias("k"), F.col("id").alias("a"))
+    right = spark.range(600).select((F.col("id") % 3).alias("k"), F.col("id").alias("b"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = skew._hot_keys(left, right, ["k"], 3).collect()
+    assert len(pieces) == 3
+    assert all(1 <= p["_l"] <= tasks and 1 <= p["_r"] <= tasks and p["_l"] * p["_r"] <= 4 * tasks for p in pieces)
+    got = fv.block_join(left, right, ["k"], 3)
+    assert got.count() == got.distinct().count() == 3 * 300 * 200
+    # neither side with its copies is held in memory as a whole
+    assert "SortMergeJoin [k" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_report_order_of_pairs(spark):
     data = _random_rows(1)
     got = fv.wait_pair_report(fv.wait_pairs(spark.createDataFrame(data, SNAP), "resource"), "resource").collect()
