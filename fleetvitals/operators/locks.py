@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fleetvitals.functions import CATALOG_SCOPE, half_up, scope_of
 from fleetvitals.operators.chains import blocking_chains
 from fleetvitals.operators.filters import LAST_SYSTEM_DATABASE, optional_filter, require_exists
-from fleetvitals.plans import block_join, durable, number_any
+from fleetvitals.plans import block_join, number_any, stored as stored_rows
 from fleetvitals.sources import load_or_build
 
 GRANTED = "GRANT"
@@ -273,12 +273,64 @@ def _sides(snapshot: DataFrame, by: str) -> tuple[DataFrame, DataFrame, list[str
     keys = [*scope_of(snapshot), *RESOURCE]
     if by == "resource":
         return snapshot.where(_is_granted()), snapshot.where(_is_waiting()), keys
-    waiting = snapshot.where(F.col("session_id") != F.col("blocking_session_id"))
-    return (
-        snapshot.withColumn("_link", F.col("session_id")),
-        waiting.withColumn("_link", F.col("blocking_session_id")),
-        [*keys, "_link"],
-    )
+    on = [*keys, "_link"]
+    return *_meeting(*_linked(snapshot), on), on
+
+
+# Lists of keys up to this long are sent to all tasks (about 250 MB as a hash table).
+KEYS_IN_MEMORY = 5_000_000
+
+
+def _linked(snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with the session they hold for, and rows with the session they wait for, in ``_link``."""
+    own, blocker = F.col("session_id"), F.col("blocking_session_id")
+    types = dict(snapshot.dtypes)
+    if types["session_id"] != types["blocking_session_id"]:
+        # codes of one number differ by its type
+        own, blocker = own.cast("bigint"), blocker.cast("bigint")
+    return snapshot.withColumn("_link", own), snapshot.where(own != blocker).withColumn("_link", blocker)
+
+
+def _listed(keys: DataFrame) -> DataFrame:
+    """A list of keys, stored, and marked for broadcast when it is short."""
+    kept = stored_rows(keys, "keys")
+    return F.broadcast(kept) if kept.count() <= KEYS_IN_MEMORY else kept
+
+
+def _met_codes(holders: DataFrame, waiters: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The 64-bit codes of the keys that are on both sides.
+
+    Few rows of a session are about what another session waits for, so holders send only codes of sessions that
+    somebody waits for.
+    """
+    blockers = _listed(waiters.select("_link").distinct())
+    known = (holders.na.drop(subset=list(on)).join(blockers, "_link", "left_semi"), True), (waiters.na.drop(subset=list(on)), False)
+    held, awaited = [side.select(_code(*on).alias("_met"), F.lit(holds).alias("_holds")) for side, holds in known]
+    both = F.bool_or("_holds") & F.bool_or(~F.col("_holds"))
+    return _listed(held.unionByName(awaited).groupBy("_met").agg(both.alias("_both")).where("_both").select("_met"))
+
+
+def _meeting(holders: DataFrame, waiters: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides without rows that meet none of the other side, filtered where they lie by the list of codes.
+
+    Rows with the code of another key stay; the join that follows drops them.
+    """
+    met = _met_codes(holders, waiters, on)
+    return tuple(side.withColumn("_met", _code(*on)).join(met, "_met", "left_semi").drop("_met") for side in (holders, waiters))
+
+
+def _in_pairs(snapshot: DataFrame) -> DataFrame:
+    """The lock rows that can be in a wait pair by blocker, each once: all that reports on such pairs need to read."""
+    on = [*scope_of(snapshot), *RESOURCE, "_link"]
+    holders, waiters = _linked(snapshot)
+    met = _met_codes(holders, waiters, on)
+    waits = F.coalesce(F.col("session_id") != F.col("blocking_session_id"), F.lit(False))
+    rows = holders.withColumn("_held", _code(*on))
+    link = F.col("blocking_session_id").cast(dict(rows.dtypes)["_link"])
+    rows = rows.withColumn("_link", link).withColumn("_awaited", F.when(waits, _code(*on)))
+    for code in ("_held", "_awaited"):
+        rows = rows.join(met.select(F.col("_met").alias(code), F.lit(True).alias(f"{code}_met")), code, "left")
+    return rows.where("_held_met or _awaited_met").select(*snapshot.columns)
 
 
 def wait_pairs(
@@ -331,8 +383,9 @@ def wait_classes(snapshot: DataFrame, by: str = "blocker", db_name: str | None =
 
     def counted(side: DataFrame, names: dict[str, str], rows: str) -> DataFrame:
         """Rows by resource, class and session."""
-        known = side.na.drop(subset=on)
-        return known.groupBy(*on, *[F.col(c).alias(n) for c, n in names.items()]).agg(F.count(F.lit(1)).alias(rows))
+        # one shuffle by the resource serves this grouping and those below
+        known = reduce(lambda rows, c: rows.where(F.col(c).isNotNull()), [*on, "session_id"], side)
+        return known.select(*dict.fromkeys([*on, *names])).repartition(*on).groupBy(*on, *[F.col(c).alias(n) for c, n in names.items()]).agg(F.count(F.lit(1)).alias(rows))
 
     h_rows = counted(held, {c: _HOLDER[c] for c in ("resource_type", "request_mode", "request_status", "session_id")}, "_h")
     w_rows = counted(awaited, {c: _WAITER[c] for c in ("request_mode", "session_id")}, "_w")
@@ -346,7 +399,8 @@ def wait_classes(snapshot: DataFrame, by: str = "blocker", db_name: str | None =
         met = h_rows.join(mine, [*on, "granted_SPID"]).groupBy(*on, *h_class, *w_class)
         less = met.agg(F.sum(F.col("_h") * F.col("_w")).alias("_own"))
         whole = [*on, *h_class, *w_class]
-        pairs = pairs.join(less.select(*[F.col(c).alias(f"_of_{c}") for c in whole], "_own"), _same(whole), "left")
+        alike = reduce(lambda a, c: a & (F.col(c) == F.col(f"_of_{c}")), on, _same([*h_class, *w_class]))
+        pairs = pairs.join(less.select(*[F.col(c).alias(f"_of_{c}") for c in whole], "_own"), alike, "left")
         own = F.coalesce("_own", F.lit(0))
     counts = pairs.withColumn("pairs", F.col("holders") * F.col("waiters") - own).where("pairs > 0")
     shown = ["db_name", "hobt_id", F.col("object_name").alias("locked_object_name"), F.col("resource_description").alias("resource")]
@@ -400,7 +454,7 @@ def contention(
 ) -> Contention:
     """The distinct holders and waiters of ``wait_pairs`` with the same arguments, without forming pairs.
 
-    ``stored=True`` checkpoints the two sets, for use in several reports.
+    ``stored=True`` stores the two sets, for use in several reports.
 
     A row is in a pair when the other side of its resource has a session other than its own.  The least
     and the greatest session id of that side decide this: at least one of them differs from the row's own
@@ -460,12 +514,15 @@ def contention(
             F.col("resource_description").alias("resource"),
         ).distinct()
 
-    held_as = holders.withColumnRenamed("resource_type", "_held_type")
+    # one shuffle a side by the resource serves the bounds and the join with them
+    shared = [*on, "session_id", "_spid_ok", "_login_ok"]
+    held_as = holders.withColumnRenamed("resource_type", "_held_type").select(*dict.fromkeys([*shared, "_held_type"])).repartition(*on)
+    waiters = waiters.select(*dict.fromkeys(shared)).repartition(*on)
     found = Contention(
         holders=distinct_parties(held_as, bounds(waiters, on), "_held_type"),
         waiters=distinct_parties(waiters, bounds(held_as, [*on, "_held_type"]), "_held_type"),
     )
-    return Contention(*map(durable, found)) if stored else found
+    return Contention(*map(stored_rows, found)) if stored else found
 
 
 # --------------------------------------------------------------------------------------------- overviews
@@ -860,7 +917,7 @@ def locking_report(
     OVERVIEW gives ``wait_pairs``, ``sessions`` and ``objects``; DETAILED adds ``head_blockers``,
     ``mid_blockers`` and ``leaf_waiters`` (``once`` and ``ordered`` as there); ``chains`` adds ``blocking_chains`` of
     the given ``depth``.  With ``snapshot_path`` the snapshot is stored there, and reused unless ``refresh`` is
-    set; without, it is checkpointed.  Holders and waiters are checkpointed once for all sections.
+    set; without, it is stored in the work folder.  Holders and waiters are stored once for all sections.
     """
     if mode not in MODES:
         warnings.warn(f"unknown mode {mode!r}, using OVERVIEW", stacklevel=2)
@@ -877,14 +934,15 @@ def locking_report(
     if snapshot_path is not None:
         snapshot = load_or_build(inputs.locks.sparkSession, snapshot_path, build, refresh)
     else:
-        snapshot = durable(build())
+        snapshot = stored_rows(build(), "locks")
     wanted = {"db_name": db_name, "spid": spid, "login": login}
-    parties = contention(snapshot, by, **wanted, stored=True)
+    pairing = stored_rows(_in_pairs(snapshot), "pairing") if by == "blocker" else snapshot
+    parties = contention(pairing, by, **wanted, stored=True)
     # with a session or login the pairs are few and counted themselves
-    counts = waiting_sessions(snapshot, by, db_name) if spid is None and login is None else None
+    counts = waiting_sessions(pairing, by, db_name) if spid is None and login is None else None
     report = {
         "snapshot": snapshot,
-        "wait_pairs": wait_pair_report(wait_pairs(snapshot, by, **wanted), by, counts),
+        "wait_pairs": wait_pair_report(wait_pairs(pairing, by, **wanted), by, counts),
         "sessions": session_overview(
             snapshot, parties.holders, active_snapshot_tx, **wanted, strict_reference=strict_reference
         ),
@@ -904,12 +962,12 @@ def report_table(report: Mapping[str, DataFrame], sections: Sequence[str] | None
 
     Every section but the snapshot, or those named.  A row's number is its place in the section's order: a
     sorted section is numbered where it lies, from its rows per task, without another sort.  The numbered
-    sections are checkpointed, so the table can be stored, filtered and compared as a whole.
+    sections are stored, so the table can be stored, filtered and compared as a whole.
     """
     parts = []
     for section, rows in report.items():
         if section in (sections if sections is not None else report.keys() - {"snapshot"}):
             cells = [cell for name in rows.columns for cell in (F.lit(name), F.col(f"`{name}`").cast("string"))]
-            numbered = number_any(rows.select(F.create_map(*cells).alias("columns")), "_place")
-            parts.append(numbered.select(F.lit(section).alias("section"), (F.col("_place") + 1).alias("row_number"), "columns"))
+            numbered = number_any(rows, "_place")
+            parts.append(numbered.select(F.lit(section).alias("section"), (F.col("_place") + 1).alias("row_number"), F.create_map(*cells).alias("columns")))
     return reduce(DataFrame.unionByName, parts)

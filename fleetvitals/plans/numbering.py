@@ -9,7 +9,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetvitals.plans.durable import durable
+from fleetvitals.plans.durable import durable, stored
 
 
 def _offsets(counts: DataFrame, dealt: str, within: Sequence[str], total: str) -> DataFrame:
@@ -24,7 +24,7 @@ def _offsets(counts: DataFrame, dealt: str, within: Sequence[str], total: str) -
     ends = list(accumulate(n for _, n in parts))
     rows = [(part, end - n, ends[-1]) for (part, n), end in zip(parts, ends, strict=True)]
     kind = dict(counts.dtypes)[dealt]
-    return counts.sparkSession.createDataFrame(rows, f"{dealt} {kind}, _before bigint, `{total}` bigint")
+    return F.broadcast(counts.sparkSession.createDataFrame(rows, f"{dealt} {kind}, _before bigint, `{total}` bigint"))
 
 
 def _prefix_sums(rows: DataFrame, dealt: str, within: Sequence[str], name: str, total: str) -> DataFrame:
@@ -63,9 +63,9 @@ def number_any(rows: DataFrame, name: str = "position") -> DataFrame:
     """The rows with ``name``, a number from 0 without gaps, in no particular order and without moving them.
 
     The lower bits of ``monotonically_increasing_id`` count the rows of a task, the upper ones name the task; the rows
-    are checkpointed with it, and one count per task gives the offsets.
+    are stored with it, and one count per task gives the offsets.
     """
-    marked = durable(rows.withColumn("_mark", F.monotonically_increasing_id()))
+    marked = stored(rows.withColumn("_mark", F.monotonically_increasing_id()))
     parts = marked.withColumns({"_part": F.shiftright("_mark", 33), "_local": F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1))})
     return _prefix_sums(parts.drop("_mark"), "_part", (), name, "_rows").drop("_rows")
 

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import fleetvitals as fv
+from fleetvitals import tune
+from fleetvitals.operators import locks
 from fleetvitals.operators.locks import PAIR_COLUMNS, SNAPSHOT_COLUMNS
 from fleetvitals.plans import skew
 
@@ -126,6 +128,36 @@ def test_block_join_copies_are_bounded(spark):
     assert "SortMergeJoin [k" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_block_join_without_hot_keys_is_plain(spark):
+    left = spark.createDataFrame([(1, 2), (2, 3)], "k int, a int")
+    right = spark.createDataFrame([(1, 5), (1, 6)], "k int, b int")
+    got = fv.block_join(left, right, ["k"])
+    assert "_l_at" not in got._jdf.queryExecution().toString()
+    assert Counter(map(tuple, got.collect())) == {(1, 2, 5): 1, (1, 2, 6): 1}
+
+
+@pytest.mark.parametrize("listed", [0, 5_000_000])
+def test_rows_in_pairs(spark, monkeypatch, listed):
+    """The rows that pairs by blocker are made of, also with blocker ids of another type and keys too many to send."""
+    monkeypatch.setattr(locks, "KEYS_IN_MEMORY", listed)
+    data = _random_rows(5)
+    snapshot = spark.createDataFrame(data, SNAP).withColumn("blocking_session_id", F.col("blocking_session_id").cast("int"))
+    brute = Counter(_brute_pairs(data, "blocker"))
+    kept = locks._in_pairs(snapshot)
+    assert 0 < kept.count() < snapshot.count() and kept.exceptAll(snapshot).isEmpty()
+    assert Counter(map(tuple, fv.wait_pairs(kept, "blocker").collect())) == brute
+    assert Counter(map(tuple, fv.wait_pairs(snapshot, "blocker").collect())) == brute
+
+
+def test_classes_take_one_shuffle_a_side(spark):
+    """All groupings and joins by resource use the rows as they were dealt by resource once."""
+    tune(spark, subset_joins=True)
+    snapshot = spark.createDataFrame(_random_rows(6), SNAP)
+    plan = fv.wait_classes(snapshot, "resource")._jdf.queryExecution().executedPlan().toString()
+    tune(spark)
+    assert "Exchange hashpartitioning" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
 def test_report_order_of_pairs(spark):
     data = _random_rows(1)
     got = fv.wait_pair_report(fv.wait_pairs(spark.createDataFrame(data, SNAP), "resource"), "resource").collect()
