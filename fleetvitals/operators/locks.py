@@ -390,17 +390,18 @@ def wait_classes(snapshot: DataFrame, by: str = "blocker", db_name: str | None =
     h_rows = counted(held, {c: _HOLDER[c] for c in ("resource_type", "request_mode", "request_status", "session_id")}, "_h")
     w_rows = counted(awaited, {c: _WAITER[c] for c in ("request_mode", "session_id")}, "_w")
     pairs = h_rows.groupBy(*on, *h_class).agg(F.sum("_h").alias("holders")).join(
-        w_rows.groupBy(*on, *w_class).agg(F.sum("_w").alias("waiters")), on
+        # a hash table of a whole dealt part may outgrow a task; a merge spills
+        w_rows.groupBy(*on, *w_class).agg(F.sum("_w").alias("waiters")).hint("merge"), on
     )
     own = F.lit(0)
     if by == "resource":
         # a session's own rows are no pairs; a blocker is never its own waiter
         mine = w_rows.withColumn("granted_SPID", F.col("waiting_SPID"))
-        met = h_rows.join(mine, [*on, "granted_SPID"]).groupBy(*on, *h_class, *w_class)
+        met = h_rows.join(mine.hint("merge"), [*on, "granted_SPID"]).groupBy(*on, *h_class, *w_class)
         less = met.agg(F.sum(F.col("_h") * F.col("_w")).alias("_own"))
         whole = [*on, *h_class, *w_class]
         alike = reduce(lambda a, c: a & (F.col(c) == F.col(f"_of_{c}")), on, _same([*h_class, *w_class]))
-        pairs = pairs.join(less.select(*[F.col(c).alias(f"_of_{c}") for c in whole], "_own"), alike, "left")
+        pairs = pairs.join(less.select(*[F.col(c).alias(f"_of_{c}") for c in whole], "_own").hint("merge"), alike, "left")
         own = F.coalesce("_own", F.lit(0))
     counts = pairs.withColumn("pairs", F.col("holders") * F.col("waiters") - own).where("pairs > 0")
     shown = ["db_name", "hobt_id", F.col("object_name").alias("locked_object_name"), F.col("resource_description").alias("resource")]
@@ -505,7 +506,7 @@ def contention(
         own = dict.fromkeys([*on, "session_id", "_spid_ok", "_login_ok"])
         if kind in side.columns:
             own[kind] = None
-        met = side.select(*own).join(other, on).where(partnered())
+        met = side.select(*own).join(other.hint("merge"), on).where(partnered())
         return met.select(
             *scope,
             "session_id",
