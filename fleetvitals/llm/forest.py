@@ -65,6 +65,12 @@ def _hashed(width: int, queries: bool):
     return run
 
 
+def _length(values: np.ndarray) -> np.ndarray:
+    """Bits that numbers of at most BITS bits need; halves of them are exact in a double."""
+    upper, lower = values >> 30, values & ((1 << 30) - 1)
+    return np.where(upper > 0, np.frexp(upper)[1] + 30, np.frexp(lower)[1])
+
+
 class Forest:
     """Sorted arrays of hash strings, one for each tree, over the points of a block."""
 
@@ -74,26 +80,40 @@ class Forest:
         self.sorted = np.take_along_axis(keys.T, self.order, axis=1)
 
     def ranges(self, wanted: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where each tree's array has the first ``level`` bits of each query's string; queries x trees."""
+        """Where a tree's array has the first ``level`` bits of strings: trees x queries, each tree's in order of the string.
+
+        Strings in order are found several times as fast as in any order, as each search begins where the last one ended.
+        """
         low = wanted >> (BITS - level) << (BITS - level)
         last = low + (np.int64(1) << (BITS - level))
-        return tuple(
-            np.column_stack([np.searchsorted(keys, edge[:, t]) for t, keys in enumerate(self.sorted)]) for edge in (low, last)
-        )
+        return tuple(np.stack([np.searchsorted(keys, edge[t]) for t, keys in enumerate(self.sorted)]) for edge in (low, last))
+
+    def depths(self, wanted: np.ndarray) -> np.ndarray:
+        """The longest prefix that each string, in order in its tree, has in common with a point: it is one of its neighbours."""
+        out = np.zeros(wanted.shape, dtype=np.int64)
+        for t, keys in enumerate(self.sorted):
+            at = np.searchsorted(keys, wanted[t])
+            near = [keys[np.clip(at + step, 0, len(keys) - 1)] for step in (-1, 0)]
+            out[t] = BITS - np.minimum(*[_length(wanted[t] ^ found) for found in near])
+        return out
 
     def candidates(self, wanted: np.ndarray, enough: int) -> Iterator[np.ndarray]:
         """For each query the points found: down to the longest prefix any tree has in common with it, then up in all
         trees at once, a bit at a time, until ``enough`` places have been passed or all trees are at their roots."""
-        low = np.zeros((len(wanted), len(self.sorted)), dtype=np.int64)
-        high = np.zeros_like(low)
-        open_ = np.arange(len(wanted))
-        deepest = 0
-        while deepest < BITS and any((b > a).any() for a, b in [self.ranges(wanted, deepest + 1)]):
-            deepest += 1
-        for level in range(deepest, -1, -1):
-            low[open_], high[open_] = self.ranges(wanted[open_], level)
-            open_ = open_[(high[open_] - low[open_]).sum(axis=1) < enough]
-            if not len(open_):
+        trees = len(self.sorted)
+        by_string = np.argsort(wanted, axis=0, kind="stable").T
+        strings = np.take_along_axis(wanted.T, by_string, axis=1)
+        low, high = (np.zeros((len(wanted), trees), dtype=np.int64) for _ in range(2))
+        open_ = np.ones(len(wanted), dtype=bool)
+        for level in range(int(self.depths(strings).max(initial=0)), -1, -1):
+            # as many open queries in every tree, in each tree's order
+            still = open_[by_string]
+            queries = by_string[still].reshape(trees, -1)
+            tree = np.arange(trees)[:, None]
+            for places, found in zip((low, high), self.ranges(strings[still].reshape(trees, -1), level), strict=True):
+                places[queries, tree] = found
+            open_ &= (high - low).sum(axis=1) < enough
+            if not open_.any():
                 break
         for a, b in zip(low, high, strict=True):
             found = np.zeros(self.order.shape[1], dtype=bool)

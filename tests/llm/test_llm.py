@@ -303,6 +303,26 @@ def test_nearest_full_block(spark, sigma):
     assert recall(spark.createDataFrame(table), x) >= 0.9
 
 
+def test_ascent(monkeypatch):
+    """The ascent finds what single steps over all strings find, and begins at the longest prefix there is."""
+    rng = np.random.default_rng(9)
+    keys, wanted = (rng.integers(0, 1 << forest.BITS, size=(n, forest.TREES)) for n in (500, 40))
+    wanted[0], wanted[1, 0] = keys[7], keys[8, 0] ^ 1
+    made = forest.Forest(keys)
+    alike = np.array([[max(forest.BITS - int(a ^ b).bit_length() for a in keys[:, t]) for t, b in enumerate(row)] for row in wanted])
+    by_string = np.argsort(wanted, axis=0, kind="stable")
+    assert (made.depths(np.take_along_axis(wanted, by_string, axis=0).T) == np.take_along_axis(alike, by_string, axis=0).T).all()
+    levels, ranges = [], made.ranges
+    monkeypatch.setattr(made, "ranges", lambda strings, level: levels.append(level) or ranges(strings, level))
+    for row, best, found in zip(wanted, alike.max(axis=1), made.candidates(wanted, 300), strict=True):
+        for level in range(best, -1, -1):
+            met = keys >> (forest.BITS - level) == row >> (forest.BITS - level)
+            if met.sum() >= 300:
+                break
+        assert found.tolist() == np.flatnonzero(met.any(axis=1)).tolist()
+    assert levels == sorted(set(levels), reverse=True) and levels[0] == alike.max()
+
+
 def test_nearest_pieces(spark, monkeypatch):
     # both sides of every task are bounded, and pieces find what one piece finds
     rng = np.random.default_rng(8)
