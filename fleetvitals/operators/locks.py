@@ -121,23 +121,21 @@ def resolve_names(locks: DataFrame, partitions: DataFrame, objects: DataFrame, f
     )
     scope = scope_of(locks, partitions, objects)
     key = [*scope, "database_id", "_by_object", "_id"]
-    names = _least(by_object.unionByName(by_partition), key, "name").withColumnRenamed("name", "_found")
+    names = _least(by_object.unionByName(by_partition), key, "name")
 
     kind = F.col("resource_type")
     looked_up = (kind == "OBJECT") | kind.isin(*NAMED_BY_PARTITION)
     entity = F.col("resource_associated_entity_id")
-    keyed = (
-        locks.withColumn("database_id", F.col("resource_database_id"))
-        .withColumn("_by_object", kind == "OBJECT")
-        .withColumn("_id", entity)
-    )
+    # lock rows are joined as they are: copies of their columns as keys would be shuffled with them
+    names = names.select(*[F.col(c).alias(f"_of_{c}") for c in key], F.col("name").alias("_found"))
+    own = {**{c: F.col(c) for c in scope}, "database_id": F.col("resource_database_id"), "_by_object": kind == "OBJECT", "_id": entity}
+    met = reduce(lambda a, b: a & b, [value == F.col(f"_of_{c}") for c, value in own.items()])
     found = F.col("_found")
     if fallback:
         prefix = F.when(kind == "OBJECT", F.lit("OBJECT: ")).otherwise(F.lit("HOBT: "))
         found = F.coalesce(found, F.concat(prefix, entity.cast("string")))
     name = F.when(kind.isin(*NAMED_BY_TYPE), kind).when(looked_up, found).otherwise(F.lit("unknown"))
-    joined = keyed.join(names, key, "left").withColumn("object_name", name)
-    return joined.select(*locks.columns, "object_name")
+    return locks.join(names, met, "left").select(*locks.columns, name.alias("object_name"))
 
 
 def session_profiles(

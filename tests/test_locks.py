@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 import warnings
 from collections import Counter
 from decimal import Decimal
@@ -308,6 +309,14 @@ def test_lock_snapshot(inputs):
     assert got[("OBJECT", 100)]["transaction_il"] == 3 and got[("OBJECT", 100)]["text"] == "select 1"
 
 
+def test_lock_rows_meet_names_without_copies_of_their_columns(inputs):
+    """What is shuffled for the names are the lock rows as they are."""
+    named = fv.resolve_names(inputs.locks, inputs.partitions, inputs.objects)
+    plan = named._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"resource_(associated_entity|database)_id#\d+L? AS ", plan)
+    assert {r["object_name"] for r in named.where("resource_type = 'KEY'").collect()} == {"orders", "HOBT: 901"}
+
+
 def test_lock_snapshot_scope_switches(inputs):
     count = lambda **flags: fv.lock_snapshot(inputs, **flags).count()
     assert (count(), count(system_databases=True), count(system_sessions=True), count(own_session_id=51)) == (6, 7, 7, 2)
