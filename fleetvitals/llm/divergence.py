@@ -15,9 +15,10 @@ from fleetvitals.plans import durable
 SCALE = 1_000_000_000
 LEAST_DOCS = 3
 TOP = 200
-# Text counted at once, runs held before they are merged, and text per bucket of terms.
-CHUNK_BYTES = 8 << 20
-HELD_RUNS = 3_000_000
+# Text counted at once, runs held before they are merged, and text per bucket of terms.  Counting takes about 40 bytes
+# of memory for a byte of text, merging about 100 bytes for a run, in every task of an executor.
+CHUNK_BYTES = 2 << 20
+HELD_RUNS = 1_000_000
 BUCKET_BYTES = 4 << 20
 # Terms times sources worked on at once.
 CELLS = 500_000

@@ -23,8 +23,9 @@ ADAPTIVE = {
 # Lost files are made again while the query runs, as always.
 CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
-# Rows that a Python worker gets at a time.  Texts are a few KB long, so a batch stays at some MB in both processes.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+# Rows that a Python worker gets at a time.  Texts are a few KB long, so a batch stays at some MB in both processes; rows
+# that hold arrays may be much longer, so bytes have a bound too.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4MB"}
 
 
 # Whether a join on several columns shuffles a side that is partitioned by some of them already.

@@ -1,6 +1,7 @@
 """Operators for training data against brute force, on hand-made rows and the smallest tables."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import tiktoken
 import __spark_entry__ as contract
 import corpus_pipeline
 from checks.compare import database, differences
-from fleetvitals.llm import bpe, counts, exact, forest, minhash, mixing, queries, sharding, suffixes, text, toxicity
+from fleetvitals.llm import bpe, counts, divergence, exact, forest, minhash, mixing, queries, sharding, suffixes, text, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, size string"
@@ -303,6 +304,23 @@ def test_nearest_full_block(spark, sigma):
     assert recall(spark.createDataFrame(table), x) >= 0.9
 
 
+def test_counting_terms_is_bounded(spark):
+    """A task's memory doesn't grow with its texts, and long rows come to Python in batches of bounded size."""
+    rng = np.random.default_rng(3)
+    some = ["".join(" %x" % n for n in rng.integers(1 << 40, 1 << 44, size=200)).translate(str.maketrans("0123456789", "ghijklmnop")) for _ in range(8000)]
+    batches = [pa.record_batch([pa.array(["x"] * 1000), pa.array(["s"] * 1000), pa.array(some[i : i + 1000])], ["lang", "source", "text"]) for i in range(0, 8000, 1000)]
+    tracemalloc.start()
+    for _ in divergence._counted(8)(iter(batches)):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 << 20
+    sizes = spark.range(0, 64, 1, 1).selectExpr("repeat('x', 1000000) AS x").mapInArrow(
+        lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches), "n long"
+    )
+    assert max(r["n"] for r in sizes.collect()) <= 6
+
+
 def test_ascent(monkeypatch):
     """The ascent finds what single steps over all strings find, and begins at the longest prefix there is."""
     rng = np.random.default_rng(9)
