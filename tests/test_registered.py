@@ -33,3 +33,17 @@ def test_query(spark, connection, name):
     count, found = differences(df, connection, name)
     assert not found
     assert count > 0
+
+
+def test_lock_rows_and_requests_read_one_shuffle_of_the_lines(spark):
+    """With joins planned as on large tables, the lines are scanned and shuffled by order once."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    df, kept = contract.queries()["lock_snapshot"](spark, FOLDER), {k: spark.conf.get(k) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert plan.count("/lineitem.parquet") == plan.count("/orders.parquet") == 1
