@@ -20,6 +20,10 @@ PATTERN = public_tokenizers.PATTERN
 MEMORY_STATES = 200_000
 MEMORY_PIECES = 160_000
 LONGEST_REMEMBERED = 64
+# Bytes of a piece that states are made for; beyond them only states that are there already are used.
+DETERMINISED = 4
+# Below it all readings of Unicode agree on what a letter is.
+LATIN_END = "\u0250"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -169,15 +173,60 @@ class MergeTransducer:
             self._reset()
         out: list[int] = []
         moves, state = self._moves, 0
-        for byte in data:
+        for at, byte in enumerate(data):
             try:
                 state, emitted = moves[state][byte]
             except KeyError:
+                if at >= DETERMINISED:
+                    return out + self._followed(state, data, at)
                 state, emitted = self._move(state, byte)
             if emitted:
                 out += emitted
         return out + list(self._ends[state])
 
+    def _followed(self, state: int, data: bytes, at: int) -> list[int]:
+        """Tokens from a state to the end of a piece, by following its walks one by one and making no states.
+
+        Far into a piece few sets of walks are met again.  As every prefix has one path, a place is reached once at most,
+        whatever is tried, so the time is linear.
+        """
+        for waiting, last, node in self._states[state]:
+            path = self._path(last, node, data, at)
+            if path is not None:
+                return [*waiting, *path]
+        raise ValueError("no tokens for these bytes")
+
+    def _path(self, last: int, node: int, data: bytes, at: int) -> list[int] | None:
+        """The tokens that lead a walk to the end of the bytes, longest tokens tried first; None if it doesn't get there."""
+        children, tokens, known, size = self.children, self.token, self._stay.get, len(data)
+        path: list[int] = []
+        left: list[tuple[list[tuple[int, int]], int]] = []
+        while True:
+            ends = []
+            while at < size:
+                node = children[node].get(data[at])
+                if node is None:
+                    break
+                at += 1
+                if tokens[node] >= 0:
+                    ends.append((tokens[node], at))
+            while True:
+                if not ends:
+                    if not left:
+                        return None
+                    ends, last = left.pop()
+                    path.pop()
+                    continue
+                token, at = ends.pop()
+                stay = known((last, token))
+                if self._neighbours(last, token) if stay is None else stay:
+                    break
+            path.append(token)
+            if at == size:
+                return path
+            left.append((ends, last))
+            last, node = token, 0
+
 
 class Utf8Stream:
     """Decodes bytes that arrive in any portions; holds back at most three bytes of an unfinished character.
@@ -246,7 +295,14 @@ class Codec:
     def _word(self, word: str) -> tuple[int, ...]:
         """A word and the space before it."""
         found = self.words.get(word)
-        return self._remember(self.words, word, tuple(self._pieces(f" {word}"))) if found is None else found
+        if found is not None:
+            return found
+        if word.isalpha() and max(word) < LATIN_END:
+            # letters and the space before them are one piece
+            data = f" {word}".encode()
+            whole = self.ranks.get(data)
+            return self._remember(self.words, word, tuple(self.transducer.encode(data)) if whole is None else (whole,))
+        return self._remember(self.words, word, tuple(self._pieces(f" {word}")))
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text.

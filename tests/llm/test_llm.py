@@ -1,6 +1,7 @@
 """Operators for training data against brute force, on hand-made rows and the smallest tables."""
 
 import hashlib
+import random
 import tracemalloc
 import zlib
 
@@ -450,3 +451,23 @@ def test_words_match_python():
     rows = ["", "A b", " x\ty \n", "ÄÖ a" * 3, None, "one"]
     found = text.words(text.text_bytes(pa.array(rows)))
     assert np.diff(found.first).tolist() == [len((t or "").encode().split()) for t in rows]
+
+
+def test_far_into_a_piece_walks_are_followed_without_new_states():
+    """States are made for the first bytes of a piece only; the tokens are those of plain merging."""
+    coder, chance = bpe.codec(), random.Random(5)
+    made = coder.transducer
+    letters = ["aeiourstln", "aéèàuxr", "ab", "日本語абв", "0123456789.,!?'"]
+    pieces = ["".join(chance.choices(chance.choice(letters), k=chance.randrange(1, 60))) for _ in range(600)]
+    for piece in ["a" * 3000, "ab" * 1500, *pieces]:
+        data = piece.encode()
+        if len(data) < 400:
+            assert made.encode(data) == [made.ranks[token] for token in made._merge(data, len(data))]
+        assert b"".join(made.data[token] for token in made.encode(data)) == data
+        assert coder.encode(f"x {piece}") == coder._pieces(f"x {piece}")
+    fresh = bpe.MergeTransducer(made.ranks)
+    for piece in pieces:
+        fresh.encode(piece.encode())
+        before = len(fresh._states)
+        fresh.encode(f"{piece[:1]}{piece}".encode())
+        assert len(fresh._states) - before <= bpe.DETERMINISED
