@@ -18,7 +18,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 # Bounds on what a Python worker remembers; beyond them it starts anew, with the same results.
 MEMORY_STATES = 200_000
-MEMORY_PIECES = 160_000
+MEMORY_PIECES = 400_000
 LONGEST_REMEMBERED = 64
 # Bytes of a piece that states are made for; beyond them only states that are there already are used.
 DETERMINISED = 4
