@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -262,39 +262,48 @@ class Telemetry:
 
     @property
     def _held_lines(self) -> DataFrame:
-        """Lines with the customer of their order: one shuffle of the lines serves the lock rows and the requests.
+        """Lines with the customer of their order, by part: the lock rows and the requests share the shuffles of the lines.
 
-        Line number, flag and status go through the joins as one number: a column costs more than its values there.
-        The snapshot leaves out rows without a type; said here, so that both have the same plan below that shuffle.
+        Customer, line number, flag and status go by part as one number: a column costs more than its values there, and a
+        customer that is null is a bit of it.
         """
         flag, status = F.col("l_returnflag"), F.col("l_linestatus")
         held = F.when(status == "F", 1).when(status.isNull(), 2).otherwise(0)
         packed = F.col("l_linenumber").cast("bigint") * 9 + F.when(flag == "A", 0).when(flag == "N", 3).otherwise(6) + held
         lines = self.table("lineitem").select("l_orderkey", "l_partkey", packed.alias("packed"))
         orders = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-        return lines.where(self._kind() != "DATABASE").join(orders, "l_orderkey")
+        known = lines.where((self._kind(F.col("packed")) != "DATABASE") & F.col("l_partkey").isNotNull()).join(orders, "l_orderkey")
+        session = F.col("o_custkey").cast("bigint")
+        whole = F.coalesce(session * 256, F.lit(128)) + F.col("packed")
+        return known.select("l_partkey", whole.alias("packed")).repartition("l_partkey")
 
     @staticmethod
-    def _kind() -> Column:
+    def _kind(packed: Column) -> Column:
         kinds = F.array(*[F.lit(k) for k in ("OBJECT", "PAGE", "EXTENT", "KEY", "RID", "HOBT", "METADATA")])
-        return F.element_at(kinds, F.floor(F.col("packed") / 9).cast("int"))
+        return F.element_at(kinds, F.floor(packed / 9).cast("int"))
+
+    @staticmethod
+    def _unpacked() -> tuple[Column, Column]:
+        """Session and the rest of what ``_held_lines`` packs."""
+        packed = F.col("packed")
+        return F.when(packed.bitwiseAND(F.lit(128)) == 0, F.shiftright(packed, 8)), packed.bitwiseAND(F.lit(127))
 
     @property
     def tran_locks(self) -> DataFrame:
         parts = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-        rows = self._held_lines.join(parts, "l_partkey")
-        number, state = F.floor(F.col("packed") / 9).cast("int"), F.pmod("packed", F.lit(9))
+        session, packed = self._unpacked()
+        number, state = F.floor(packed / 9).cast("int"), F.pmod(packed, F.lit(9))
         granted, mode = state % 3 == 1, F.floor(state / 3)
         waits = F.when(mode == 1, F.lit("CONVERT")).otherwise(F.lit("WAIT"))
-        return rows.select(
-            self._kind().alias("resource_type"),
+        return self._held_lines.join(parts, "l_partkey").select(
+            self._kind(packed).alias("resource_type"),
             number.cast("string").alias("resource_description"),
             F.col("l_partkey").alias("resource_associated_entity_id"),
             F.col("p_size").alias("resource_database_id"),
             F.lit("LOCK").alias("request_type"),
             F.when(granted, F.lit("GRANT")).otherwise(waits).alias("request_status"),
             F.when(mode == 0, F.lit("S")).when(mode == 1, F.lit("IX")).otherwise(F.lit("X")).alias("request_mode"),
-            F.col("o_custkey").alias("request_session_id"),
+            session.alias("request_session_id"),
         )
 
     @property
@@ -352,23 +361,20 @@ class Telemetry:
     @property
     def requests(self) -> DataFrame:
         """A waiting session is blocked by the lowest session below it that holds what it waits for."""
-        # a key that is never null and tests of both sides of the join leave the lines as the lock rows have them
-        number, state = F.coalesce(F.floor(F.col("packed") / 9), F.lit(0)), F.pmod("packed", F.lit(9)) % 3
-        rows = self._held_lines.where("o_custkey is not null").select(
+        session, packed = self._unpacked()
+        number, state = F.floor(packed / 9), F.pmod(packed, F.lit(9)) % 3
+        # the lock rows of a snapshot have a type and a session; said here too, so that both read one shuffle
+        rows = self._held_lines.where((self._kind(packed) != "DATABASE") & session.isNotNull()).select(
             "l_partkey",
             number.alias("l_linenumber"),
-            F.when(state == 1, F.col("o_custkey")).alias("holder"),
-            F.when(state == 0, F.col("o_custkey")).alias("waiter"),
-        )
-        held = (
-            rows.where("holder is not null")
-            .groupBy("l_partkey", "l_linenumber")
-            .agg(F.min("holder").alias("least"))
+            F.when(state == 1, session).alias("holder"),
+            F.when(state == 0, session).alias("waiter"),
         )
+        # lines lie by part already, so a window moves none of them
+        least = F.min("holder").over(Window.partitionBy("l_partkey", "l_linenumber"))
         blockers = (
-            rows.where("waiter is not null")
-            .join(held, ["l_partkey", "l_linenumber"])
-            .where("least < waiter")
+            rows.withColumn("least", least)
+            .where("waiter is not null and least < waiter")
             .groupBy(F.col("waiter").alias("session_id"))
             .agg(F.min("least").alias("blocking_session_id"))
         )

@@ -23,6 +23,20 @@ NAMED_BY_TYPE = ("DATABASE", "METADATA", "FILE")
 NAMED_BY_PARTITION = ("EXTENT", "HOBT", "KEY", "PAGE", "RID")
 ROW_LOCKS = ("KEY", "RID")
 
+# The words that lock rows are made of (fixed values); others are kept as they are.
+WORDS = {
+    "resource_type": (
+        *("DATABASE", "FILE", "OBJECT", "PAGE", "KEY", "EXTENT", "RID", "APPLICATION", "METADATA", "HOBT"),
+        *("ALLOCATION_UNIT", "OIB", "ROWGROUP", "XACT"),
+    ),
+    "request_type": ("LOCK",),
+    "request_status": ("GRANT", "CONVERT", "WAIT", "LOW_PRIORITY_CONVERT", "LOW_PRIORITY_WAIT", "ABORT_BLOCKERS"),
+    "request_mode": (
+        *("NULL", "Sch-S", "Sch-M", "S", "U", "X", "IS", "IU", "IX", "SIU", "SIX", "UIX", "BU", "RangeS_S", "RangeS_U"),
+        *("RangeI_N", "RangeI_S", "RangeI_U", "RangeI_X", "RangeX_S", "RangeX_U", "RangeX_X"),
+    ),
+}
+
 # Isolation level names by code (fixed values).
 ISOLATION_LEVELS = {
     0: "Unspecified",
@@ -172,6 +186,31 @@ def session_profiles(
     )
 
 
+def _packed_words(rows: DataFrame) -> DataFrame:
+    """Rows with the words of ``WORDS`` as one number, ``_words``: a column of words costs a shuffle more than its value.
+
+    A row with any other word, or none, has no number and keeps its words.
+    """
+    known, number = F.lit(True), F.lit(0)
+    for c, words in WORDS.items():
+        known = known & F.col(c).isin(*words)
+        at = F.array_position(F.array(*[F.lit(w) for w in words]), F.col(c)) - 1
+        number = number * len(words) + at
+    packed = rows.withColumn("_words", F.when(known, number))
+    return packed.withColumns({c: F.when(F.col("_words").isNull(), F.col(c)) for c in WORDS})
+
+
+def _unpacked_words(rows: DataFrame) -> DataFrame:
+    """The words back in their columns."""
+    number, shown = F.col("_words"), {}
+    for c, words in reversed(WORDS.items()):
+        # not element_at, which takes a null place for the last one
+        word = F.get(F.array(*[F.lit(w) for w in words]), (number % len(words)).cast("int"))
+        shown[c] = F.coalesce(word, F.col(c))
+        number = F.floor(number / len(words))
+    return rows.withColumns(shown).drop("_words")
+
+
 def lock_snapshot(
     inputs: LockInputs,
     system_databases: bool = False,
@@ -186,7 +225,7 @@ def lock_snapshot(
     the process test needs the session row.
 
     The session side is assembled first, so the lock rows take part in three joins: with sessions, with
-    database names and with object names, each key-unique.
+    database names and with object names, each key-unique.  They go to the sessions with their fixed words as one number.
     """
     locks = inputs.locks.where(
         (F.col("resource_type") != "DATABASE")
@@ -202,9 +241,9 @@ def lock_snapshot(
     names = inputs.databases.select(
         *db_scope, F.col("database_id").alias("resource_database_id"), F.col("name").alias("_db")
     )
+    met = _packed_words(named).withColumn("session_id", F.col("request_session_id")).join(profiles, [*scope_of(named, profiles), "session_id"])
     rows = (
-        named.withColumn("session_id", F.col("request_session_id"))
-        .join(profiles, [*scope_of(named, profiles), "session_id"])
+        _unpacked_words(met)
         .join(names, [*db_scope, "resource_database_id"], "left")
         .withColumn("db_name", F.coalesce("_db", F.lit("NULL")))
         .withColumn("hobt_id", F.col("resource_associated_entity_id"))

@@ -317,6 +317,20 @@ def test_lock_rows_meet_names_without_copies_of_their_columns(inputs):
     assert {r["object_name"] for r in named.where("resource_type = 'KEY'").collect()} == {"orders", "HOBT: 901"}
 
 
+def test_lock_rows_meet_sessions_with_their_words_as_a_number(spark, inputs):
+    """Words go to the sessions as a number; words out of the list, and none, come through as they are."""
+    odd = [("XACT", "LOCK", "WAIT", "RangeX_X"), ("NEW", "LOCK", "GRANT", "S"), ("KEY", None, "GRANT", "S"), ("KEY", "LOCK", "grant", "IX"), ("FILE", "LOCK", None, None)]
+    words = ["resource_type", "request_type", "request_status", "request_mode"]
+    rows = [dict(zip(words, w, strict=True)) | {"resource_associated_entity_id": n} for n, w in enumerate(odd)]
+    like = inputs.locks.where("request_session_id = 51 and resource_database_id = 5").limit(1).drop(*words, "resource_associated_entity_id")
+    made = spark.createDataFrame(rows, ", ".join(f"{w} string" for w in words) + ", resource_associated_entity_id long")
+    snapshot = fv.lock_snapshot(inputs._replace(locks=like.crossJoin(made).select(*inputs.locks.columns)))
+    assert sorted(((r["hobt_id"], *[r[w] for w in words]) for r in snapshot.collect()), key=repr) == [(n, *w) for n, w in enumerate(odd)]
+    plan = fv.lock_snapshot(inputs)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("Join Inner", 1)[1].split("Join", 1)[0]
+    assert " AS _words#" in below
+
+
 def test_lock_snapshot_scope_switches(inputs):
     count = lambda **flags: fv.lock_snapshot(inputs, **flags).count()
     assert (count(), count(system_databases=True), count(system_sessions=True), count(own_session_id=51)) == (6, 7, 7, 2)
