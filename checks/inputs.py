@@ -367,11 +367,13 @@ class Telemetry:
         rows = self._held_lines.where((self._kind(packed) != "DATABASE") & session.isNotNull()).select(
             "l_partkey",
             number.alias("l_linenumber"),
+            session.alias("session"),
             F.when(state == 1, session).alias("holder"),
             F.when(state == 0, session).alias("waiter"),
         )
-        # lines lie by part already, so a window moves none of them
-        least = F.min("holder").over(Window.partitionBy("l_partkey", "l_linenumber"))
+        # lines lie by part already, so a window moves none of them; holders below a session come before it
+        below = Window.partitionBy("l_partkey", "l_linenumber").orderBy("session").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        least = F.min("holder").over(below)
         blockers = (
             rows.withColumn("least", least)
             .where("waiter is not null and least < waiter")
