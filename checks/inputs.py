@@ -265,7 +265,7 @@ class Telemetry:
         """Lines with the customer of their order, by part: the lock rows and the requests share the shuffles of the lines.
 
         Customer, line number, flag and status go by part as one number: a column costs more than its values there, and a
-        customer that is null is a bit of it.
+        customer that is null is a bit of it; customer keys beyond 2^55 fail.
         """
         flag, status = F.col("l_returnflag"), F.col("l_linestatus")
         held = F.when(status == "F", 1).when(status.isNull(), 2).otherwise(0)
