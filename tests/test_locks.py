@@ -6,6 +6,7 @@ from collections import Counter
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import fleetvitals as fv
@@ -129,6 +130,32 @@ def test_block_join_copies_are_bounded(spark):
     assert "SortMergeJoin [k" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_block_join_pairs_come_in_tiles(spark):
+    """Both values of nearly every pair were among the last few hundred rows, so files of pairs stay small."""
+    left = spark.range(900).select(F.lit(1).alias("k"), F.col("id").alias("a"))
+    right = spark.range(800).select(F.lit(1).alias("k"), F.col("id").alias("b"))
+    got = fv.block_join(left, right, ["k"], 500).select("a", "b", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    for side in ("a", "b"):
+        since = F.col("at") - F.lag("at").over(Window.partitionBy("part", side).orderBy("at"))
+        near, pairs = got.select(since.alias("since")).agg(F.count_if(F.col("since") <= 256), F.count(F.lit(1))).first()
+        assert pairs == 900 * 800
+        assert near > 0.99 * pairs
+
+
+def test_block_join_tiles_are_bounded(spark):
+    """Rows that are all alike make no larger array than others, and none is lost."""
+    side = spark.range(0, 1000, 1, 3).select(F.lit("x").alias("a"), F.lit(1).alias("k"), F.lit(None).cast("int").alias("n"))
+    sizes = [len(r["_tile"]) for r in skew._tiled(side, ["k"]).collect()]
+    assert max(sizes) <= skew.TILE_ROWS and sum(sizes) == 1000
+    right = spark.createDataFrame([(7, 1), (8, 1), (9, 2)], "b int, k int")
+    got = fv.block_join(side, right, ["k"], 300)
+    assert got.schema == side.join(right, ["k"]).schema
+    assert Counter(map(tuple, got.collect())) == {(1, "x", None, 7): 1000, (1, "x", None, 8): 1000}
+    # a side may have no columns but its keys
+    assert Counter(map(tuple, fv.block_join(side.select("k"), right, ["k"], 300).collect())) == {(1, 7): 1000, (1, 8): 1000}
+    assert Counter(map(tuple, fv.block_join(side, right.select("k"), ["k"], 300).collect())) == {(1, "x", None): 2000}
+
+
 def test_block_join_without_hot_keys_is_plain(spark):
     left = spark.createDataFrame([(1, 2), (2, 3)], "k int, a int")
     right = spark.createDataFrame([(1, 5), (1, 6)], "k int, b int")
